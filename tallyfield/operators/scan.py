@@ -64,15 +64,19 @@ class Ordered:
         return self.df.drop(CHUNK)
 
 
-def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Ordered:
+def ordered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], sizes_of: DataFrame | None = None
+) -> Ordered:
     """Decide, from the largest key group, whether the groups have to be chunked.
 
     ``order`` holds column names, a leading ``-`` meaning descending; with the keys it
-    must be unique, or ties are broken arbitrarily.
+    must be unique, or ties are broken arbitrarily. ``sizes_of`` names a cheaper frame
+    with the same key counts (for example the input of one-to-one joins).
     """
     keys, order = tuple(keys), tuple(order)
     limit = rows_per_task(df.sparkSession)
-    sizes = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
+    counted = df if sizes_of is None else sizes_of
+    sizes = counted.groupBy(*keys).count() if keys else counted.agg(F.count("*").alias("count"))
     largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
     if (largest or 0) <= limit:
         return Ordered(df, keys, order, False)

@@ -117,3 +117,46 @@ def bets(spark: SparkSession, directory: str) -> DataFrame:
         F.when(closed, F.when(key % 4 == 0, 100 + key % 90).otherwise(-(100 + key % 70))).cast("int").alias("closing_odds"),
         F.when(settled, F.col("o_orderdate") + F.make_dt_interval(days=(key % 10).cast("int"))).alias("settled_at"),
     )
+
+
+def player_stats(spark: SparkSession, directory: str) -> DataFrame:
+    """Season statistics in the raw contract's shape."""
+    games = player_games(spark, directory)
+    return games.select(
+        "season",
+        "week",
+        F.lit("REG").alias("season_type"),
+        "player_id",
+        F.concat(F.lit("Mike "), "player_id", F.lit(" Jr.")).alias("player_display_name"),
+        "position",
+        F.col("team").alias("recent_team"),
+        "receptions",
+        "targets",
+        "receiving_yards",
+        "attempts",
+        "completions",
+    )
+
+
+def schedules(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per game in the raw contract's shape."""
+    games = player_games(spark, directory)
+    home = F.when(F.col("is_home"), F.col("team")).otherwise(F.col("opponent"))
+    away = F.when(F.col("is_home"), F.col("opponent")).otherwise(F.col("team"))
+    return games.select(
+        "season",
+        "week",
+        F.lit("REG").alias("game_type"),
+        "game_id",
+        F.date_format("kickoff", "yyyy-MM-dd").alias("gameday"),
+        F.date_format("kickoff", "HH:mm").alias("gametime"),
+        home.alias("home_team"),
+        away.alias("away_team"),
+    ).dropDuplicates(["season", "week", "game_id"])
+
+
+def snap_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """Optional usage input: snap share per player and game."""
+    return player_games(spark, directory).select(
+        F.col("player_id").alias("source_player_id"), "game_id", "snap_share"
+    )
