@@ -1,0 +1,56 @@
+"""Small keyed state for ``foreachBatch`` jobs, kept as per-batch Parquet deltas.
+
+A batch writes only the keys it changed, into its own folder, so a repeated batch replaces
+its own output. Every ``COMPACT_EVERY`` batches the state is folded into one snapshot.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COMPACT_EVERY = 50
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm_path):
+        return []
+    return [status.getPath().getName() for status in fs.listStatus(jvm_path)]
+
+
+def _epochs(spark: SparkSession, path: str, kind: str) -> list[int]:
+    complete = []
+    for name in _names(spark, path):
+        if name.startswith(f"{kind}-") and "_SUCCESS" in _names(spark, f"{path}/{name}"):
+            complete.append(int(name.split("-")[1]))
+    return sorted(complete)
+
+
+def read_state(spark: SparkSession, path: str, keys: list[str], before: int) -> DataFrame | None:
+    """Latest row of each key from batches earlier than ``before``; None when there is none."""
+    snapshots = [e for e in _epochs(spark, path, "snapshot") if e < before]
+    start = snapshots[-1] if snapshots else -1
+    deltas = [e for e in _epochs(spark, path, "delta") if start < e < before]
+    folders = [f"{path}/snapshot-{start}"] if snapshots else []
+    folders += [f"{path}/delta-{e}" for e in deltas]
+    if not folders:
+        return None
+    rows = spark.read.parquet(*folders)
+    rest = [c for c in rows.columns if c not in keys and c != "_epoch"]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_s"))
+    return latest.select(*keys, "_s.*")
+
+
+def write_state(changed: DataFrame, path: str, keys: list[str], epoch: int) -> None:
+    spark = changed.sparkSession
+    changed.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/delta-{epoch}")
+    if epoch % COMPACT_EVERY == COMPACT_EVERY - 1:
+        merged = read_state(spark, path, keys, epoch + 1)
+        merged.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/snapshot-{epoch}")
+
+
+def write_batch(rows: DataFrame, path: str, epoch: int) -> None:
+    """Append-style output that a repeated batch overwrites: one folder per batch."""
+    rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
