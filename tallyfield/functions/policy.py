@@ -39,6 +39,12 @@ def money(value) -> Column:
     return (F.lit(value) if isinstance(value, str) else value).cast("decimal(12,2)")
 
 
+def percent(value: Column, digits: int) -> Column:
+    """Percentage text, rounded half-even on the binary value."""
+    number = F.call_function("format_number", value * 100, F.lit("0." + "0" * digits))
+    return F.concat(number, F.lit("%"))
+
+
 def confidence(weights: dict[str, float] = CONFIDENCE_WEIGHTS) -> Column:
     """Weighted mean of the component columns."""
     total = sum(weights.values())
@@ -56,7 +62,8 @@ def recommendation(ev: Column, conf: Column, age: Column, policy: Policy = Polic
     """Rating and the reasons that held it back."""
 
     def share(text, value, digits):
-        return F.format_string(text.replace("@", f"%.{digits}f%%"), value * 100)
+        before, after = text.split("@")
+        return F.concat(F.lit(before), percent(value, digits), F.lit(after))
 
     failures = F.array_compact(
         F.array(

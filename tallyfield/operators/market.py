@@ -71,8 +71,8 @@ def rank_offers(
     ranked = running(scan, {"rank": ("count", F.lit(1))}, inclusive=True).result()
     return ranked.withColumns(
         {
-            "decimal_odds": F.round("decimal_odds", 4),
-            "implied_probability": F.round("implied_probability", 4),
+            "decimal_odds": F.bround("decimal_odds", 4),
+            "implied_probability": F.bround("implied_probability", 4),
         }
     ).drop("_score", "player_key")
 

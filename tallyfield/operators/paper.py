@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfield.functions.odds import clv_columns, expected_return, implied_probability, settled_profit
-from tallyfield.functions.policy import Policy, confidence, data_age_seconds, exposure_rejections, money, recommendation
+from tallyfield.functions.policy import (
+    Policy,
+    confidence,
+    data_age_seconds,
+    exposure_rejections,
+    money,
+    percent,
+    recommendation,
+)
 from tallyfield.operators.market import CONTRACT, best_line, opening_quote
 from tallyfield.operators.scan import ordered, running
 
@@ -43,13 +51,15 @@ def recommend(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
         F.col("expected_return"), F.col("overall_confidence"), F.col("data_age_seconds"), policy
     )
     rows = rows.withColumns({"rating": rating, "rejection_reasons": reasons})
-    rationale = F.format_string(
-        "%s: model probability %.1f%%, market implied probability %.1f%%, expected return %.2f%% per dollar. "
-        "Paper recommendation only.",
-        "rating",
-        probability * 100,
-        F.col("implied_probability") * 100,
-        F.col("expected_return") * 100,
+    rationale = F.concat(
+        F.col("rating"),
+        F.lit(": model probability "),
+        percent(probability, 1),
+        F.lit(", market implied probability "),
+        percent(F.col("implied_probability"), 1),
+        F.lit(", expected return "),
+        percent(F.col("expected_return"), 2),
+        F.lit(" per dollar. Paper recommendation only."),
     )
     return rows.withColumn("rationale", rationale)
 

@@ -74,27 +74,37 @@ def paired_mae_bootstrap(
     rows: DataFrame,
     keys: list[str],
     reference: str,
-    candidate: str,
+    candidate: str | list[str],
     actual: str = "actual",
     iterations: int = ITERATIONS,
     confidence: float = CONFIDENCE,
     seed: int = SEED,
     rows_per_block: int = 50_000,
 ) -> DataFrame:
-    """Improvement of the candidate's absolute error over the reference, with its interval."""
-    loss = {m: F.abs(F.col(actual) - F.col(m)) for m in (reference, candidate)}
-    gain = loss[reference] - loss[candidate]
+    """Improvement of each candidate's absolute error over the reference, with its interval.
+
+    All candidates share the same resamples, so one pass over the rows serves them all.
+    """
+    candidates = [candidate] if isinstance(candidate, str) else list(candidate)
+    loss = {m: F.abs(F.col(actual) - F.col(m)) for m in (reference, *candidates)}
+    gains = {f"gain_{i}": loss[reference] - loss[c] for i, c in enumerate(candidates)}
+    sums = resampled_sums(rows, keys, gains, iterations, seed, rows_per_block)
     observed = rows.agg(
-        F.avg(gain).alias("difference"), F.avg(loss[reference]).alias("_mae"), F.count("*").alias("sample_count")
+        F.avg(loss[reference]).alias("_mae"),
+        F.count("*").alias("sample_count"),
+        *[F.avg(g).alias(n) for n, g in gains.items()],
     )
-    sums = resampled_sums(rows, keys, {"gain": gain}, iterations, seed, rows_per_block)
     tail = (1 - confidence) / 2
     # One value per iteration: a bounded group.
-    interval = sums.agg(
-        F.percentile(F.col("gain") / F.col("draws"), F.array(F.lit(tail), F.lit(1 - tail))).alias("_ci")
-    )
-    both = observed.crossJoin(interval)  # one row each
-    return both.select(
+    bounds = F.array(F.lit(tail), F.lit(1 - tail))
+    intervals = sums.agg(*[F.percentile(F.col(n) / F.col("draws"), bounds).alias(f"{n}_ci") for n in gains])
+    entries = [
+        F.struct(F.lit(c).alias("candidate"), F.col(f"gain_{i}").alias("difference"), F.col(f"gain_{i}_ci").alias("_ci"))
+        for i, c in enumerate(candidates)
+    ]
+    both = observed.crossJoin(intervals)  # one row each
+    return both.select("_mae", "sample_count", F.inline(F.array(*entries))).select(
+        "candidate",
         "difference",
         F.col("_ci")[0].alias("confidence_lower"),
         F.col("_ci")[1].alias("confidence_upper"),

@@ -15,12 +15,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(build: Query) -> Query:
+def query(build: Query, name: str | None = None) -> Query:
+    """Register ``build`` under its own or a given name; returns it unchanged."""
+    register(name or build.__name__, build)
+    return build
+
+
+def register(name: str, build: Query) -> None:
     def run(spark: SparkSession, directory: str) -> DataFrame:
         return build(configure(spark), directory)
 
-    QUERIES[build.__name__] = run
-    return run
+    QUERIES[name] = run
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:

@@ -125,11 +125,3 @@ SELECT s.* EXCLUDE (first_move_at, seen_at, seen_id), moved_first, round(consens
        round(consensus_probability, 6) AS consensus_probability, books_contributing
 FROM summary s LEFT JOIN first_book USING (event_id, player_id, market, side)
                LEFT JOIN agreed USING (event_id, player_id, market, side)"""
-
-ORACLES["quote_history"] = f"""
-WITH {QUOTES}
-SELECT quote_id, event_id, player_id, p_name AS player_name, book_id, s_name AS book_name, market, side, line,
-       american_odds, captured_at
-FROM quotes JOIN part ON p_partkey = player_id * 10 JOIN supplier ON s_suppkey = book_id
-WHERE market = 'player_receptions' AND side = 'over'
-ORDER BY captured_at DESC, quote_id DESC LIMIT 200"""

@@ -19,7 +19,10 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def quotes(spark: SparkSession, directory: str) -> DataFrame:
     """Quote snapshots from order lines: who, where, which side, line, price and when."""
-    li = table(spark, directory, "lineitem")
+    return quotes_of(table(spark, directory, "lineitem"))
+
+
+def quotes_of(li: DataFrame) -> DataFrame:
     points = F.round(F.col("l_discount") * 1000).cast("int")
     return li.select(
         F.concat_ws(
@@ -119,9 +122,8 @@ def bets(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def player_stats(spark: SparkSession, directory: str) -> DataFrame:
+def player_stats(games: DataFrame) -> DataFrame:
     """Season statistics in the raw contract's shape."""
-    games = player_games(spark, directory)
     return games.select(
         "season",
         "week",
@@ -138,9 +140,8 @@ def player_stats(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def schedules(spark: SparkSession, directory: str) -> DataFrame:
+def schedules(games: DataFrame) -> DataFrame:
     """One row per game in the raw contract's shape."""
-    games = player_games(spark, directory)
     home = F.when(F.col("is_home"), F.col("team")).otherwise(F.col("opponent"))
     away = F.when(F.col("is_home"), F.col("opponent")).otherwise(F.col("team"))
     return games.select(
@@ -155,8 +156,93 @@ def schedules(spark: SparkSession, directory: str) -> DataFrame:
     ).dropDuplicates(["season", "week", "game_id"])
 
 
-def snap_counts(spark: SparkSession, directory: str) -> DataFrame:
+def snap_counts(games: DataFrame) -> DataFrame:
     """Optional usage input: snap share per player and game."""
-    return player_games(spark, directory).select(
-        F.col("player_id").alias("source_player_id"), "game_id", "snap_share"
+    return games.select(F.col("player_id").alias("source_player_id"), "game_id", "snap_share")
+
+
+def fetch_attempts(spark: SparkSession, directory: str) -> DataFrame:
+    """Feed attempts from the event stream; error events are failed fetches."""
+    return attempts_of(table(spark, directory, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.concat(F.lit("feed-"), F.col("user_id").cast("string")).alias("provider"),
+        F.col("event_id").alias("attempt_id"),
+        F.col("ts").alias("ended_at"),
+        (F.col("event_type") != "error").alias("succeeded"),
+        F.col("value").alias("latency_ms"),
+        F.get_json_object("props", "$.k").cast("long").alias("records"),
+    )
+
+
+def feed_batches(spark: SparkSession, directory: str) -> DataFrame:
+    """Snapshot batches per feed; the payload hash stands for the event type."""
+    return batches_of(table(spark, directory, "events"))
+
+
+def batches_of(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.concat(F.lit("feed-"), F.col("user_id").cast("string")).alias("provider"),
+        F.col("event_id").alias("batch_id"),
+        F.col("ts").alias("captured_at"),
+        F.md5("event_type").alias("payload_hash"),
+        F.get_json_object("props", "$.k").cast("long").alias("row_count"),
+    )
+
+
+def raw_offers(spark: SparkSession, directory: str) -> DataFrame:
+    """Unchecked offers: quotes with some broken records, grouped in payloads by ship month."""
+    li = table(spark, directory, "lineitem")
+    q = quotes_of(li)
+    tail = F.substring("quote_id", -1, 1)
+    number = F.split_part("quote_id", F.lit("-"), F.lit(4)).cast("long")
+    return q.select(
+        F.date_format("batch", "yyyy-MM").alias("payload_id"),
+        F.col("quote_id").alias("record_index"),
+        F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("event_id"),
+        F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("event_name"),
+        F.col("captured_at").alias("commence_time"),
+        F.concat(F.lit("Book "), F.col("book_id").cast("string")).alias("bookmaker"),
+        F.when(number % 29 == 0, "player_rush_yds").otherwise(F.col("market")).alias("market"),
+        F.when(number % 31 == 0, " ")
+        .when(tail == "3", F.concat(F.lit("MIKE O'Player "), F.col("player_id").cast("string")))
+        .otherwise(F.concat(F.lit("Michael O.Player "), F.col("player_id").cast("string"), F.lit(" III")))
+        .alias("player"),
+        "side",
+        F.when(number % 37 == 0, -F.col("line")).otherwise(F.col("line")).alias("line"),
+        F.when(number % 41 == 0, 50).otherwise(F.col("american_odds")).alias("american_odds"),
+        "captured_at",
+    )
+
+
+def payloads(spark: SparkSession, directory: str) -> DataFrame:
+    """One nested JSON document per quote, with entries that must be dropped."""
+    q = quotes(spark, directory)
+    outcome = lambda name, who, price: F.struct(
+        name.alias("name"), who.alias("description"), F.col("line").alias("point"), price.alias("price")
+    )
+    player = F.concat(F.lit("Player "), F.col("player_id").cast("string"))
+    price = F.col("american_odds").cast("double")
+    good = outcome(F.initcap("side"), player, F.col("american_odds").cast("string"))
+    nobody = outcome(F.initcap("side"), F.lit(""), F.lit("100"))
+    draw = outcome(F.lit("Draw"), player, F.lit("100"))
+    broken = outcome(F.initcap("side"), player, F.concat(price.cast("string"), F.lit("5")))
+    document = F.struct(
+        F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("id"),
+        F.concat(F.lit("H"), (F.col("event_id") % 32).cast("string")).alias("home_team"),
+        F.concat(F.lit("A"), (F.col("event_id") % 31).cast("string")).alias("away_team"),
+        F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("commence_time"),
+        F.array(
+            F.struct(
+                F.concat(F.lit("book_"), F.col("book_id").cast("string")).alias("key"),
+                F.when(F.col("book_id") != 0, F.concat(F.lit("Book "), F.col("book_id").cast("string"))).alias("title"),
+                F.array(
+                    F.struct(F.col("market").alias("key"), F.array(good, nobody, draw, broken).alias("outcomes")),
+                    F.struct(F.lit("h2h").alias("key"), F.array(good).alias("outcomes")),
+                ).alias("markets"),
+            )
+        ).alias("bookmakers"),
     )
+    return q.select("quote_id", F.to_json(document).alias("payload"))
