@@ -23,12 +23,10 @@ def implied_probability(odds: Column) -> Column:
 
 
 def exact_profit_factor(odds: Column) -> Column:
-    """Decimal odds minus one as an exact decimal, for money."""
-    whole = odds.cast("decimal(10,0)")
-    hundred = F.lit(100).cast("decimal(10,0)")
-    return F.when(odds > 0, (whole / hundred).cast("decimal(20,12)")).when(
-        odds < 0, (hundred / F.abs(whole)).cast("decimal(20,12)")
-    )
+    """Decimal odds minus one to 27 decimals, for money."""
+    hundredth = (odds.cast("decimal(9,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(28,20)")
+    inverse = F.lit(100).cast("decimal(22,19)") / F.abs(odds).cast("decimal(7,0)")
+    return F.when(odds > 0, hundredth.cast("decimal(36,27)")).when(odds < 0, inverse.cast("decimal(36,27)"))
 
 
 def line_score(side: Column, line: Column) -> Column:
@@ -68,7 +66,18 @@ def clv_columns(
 
 
 def settled_profit(outcome: Column, stake: Column, odds: Column) -> Column:
-    """Net profit in cents, rounded half-even on exact decimals."""
-    win = F.bround((stake.cast("decimal(12,2)") * exact_profit_factor(odds)).cast("decimal(30,12)"), 2)
+    """Net profit in cents, half-even, in 28-digit decimal arithmetic.
+
+    The product is first rounded to 28 significant digits, as a decimal calculator does:
+    that decides which repeating quotients count as an exact half cent.
+    """
+    # A positive price has two decimals, so its product is exact.
+    direct = stake.cast("decimal(12,2)") * (odds.cast("decimal(9,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(11,2)")
+    product = stake.cast("decimal(9,2)") * exact_profit_factor(odds).cast("decimal(28,27)")
+    digits = F.when(product >= 1_000_000, F.bround(product, 21).cast("decimal(38,28)"))
+    for whole in range(6, 0, -1):
+        digits = digits.when(product >= 10 ** (whole - 1), F.bround(product, 28 - whole).cast("decimal(38,28)"))
+    digits = digits.otherwise(product.cast("decimal(38,28)"))
+    win = F.when(odds > 0, F.bround(direct, 2)).otherwise(F.bround(digits, 2))
     amount = F.when(outcome == "WIN", win).when(outcome == "LOSS", -stake).otherwise(F.lit(0))
     return amount.cast("decimal(12,2)")

@@ -250,6 +250,7 @@ def leakage_probe(build, training: DataFrame, stats: DataFrame, cut) -> DataFram
 
     Rebuilds the table from mutated inputs; an empty result means no leakage.
     """
+    stats = prepared_stats(stats)
     late = training.filter(F.col("kickoff") >= F.lit(cut)).select("season", "week", "team").dropDuplicates()
     altered = stats.join(late.withColumn("_late", F.lit(True)), ["season", "week", "team"], "left")
     bump = F.when(F.col("_late"), 1).otherwise(0)
@@ -257,7 +258,6 @@ def leakage_probe(build, training: DataFrame, stats: DataFrame, cut) -> DataFram
         {c: F.col(c) + bump for c in ("receptions", "targets", "receiving_yards", "attempts", "completions")}
     ).drop("_late")
     before = lambda df: df.filter(F.col("kickoff") < F.lit(cut)).drop("actual_receptions")
-    # Histories end one row before the current game, so the first games at the cut count too.
     return before(build(training, changed)).exceptAll(before(build(training, stats)))
 
 

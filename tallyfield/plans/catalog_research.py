@@ -136,13 +136,12 @@ def check_contract(spark, sf):
 
     g = tables.player_games(spark, sf)
     found = {"player_stats": tables.player_stats(g), "schedules": tables.schedules(g)}
-    rows = [
-        (c.name, quality.missing_columns(found[frame], c.required, c.any_of))
-        for c in CONTRACTS.values()
-        for frame in found
-        if frame == c.name or c.name in ("rosters", "injuries")
-    ]
-    verdicts = spark.createDataFrame(rows, "contract string, missing array<string>").dropDuplicates(["contract"])
+    checked = {"player_stats": "player_stats", "schedules": "schedules", "rosters": "player_stats", "injuries": "schedules"}
+    rows = []
+    for name, frame in checked.items():
+        contract = CONTRACTS[name]
+        rows.append((name, ",".join(quality.missing_columns(found[frame], contract.required, contract.any_of))))
+    verdicts = spark.createDataFrame(rows, "contract string, missing string")
     sizes = g.agg(F.count("*").alias("rows"))
     return verdicts.crossJoin(sizes)  # one row
 

@@ -190,7 +190,7 @@ M["project_and_recommend"] = f"""WITH {REQUESTS}, {_best},
   SELECT {DECIDED}, best_quote_id, CAST(least(50, c) - least(50, c - want) AS DECIMAL(10,2)) AS recommended_stake FROM filled"""
 M["expected_value"] = f"""WITH {QUOTES}, v AS (
   SELECT quote_id, (player_id % 100) / 100.0::DOUBLE AS model_probability, (player_id % 100) / 100.0::DOUBLE * decimal_odds - 1 AS ev FROM priced)
-  SELECT quote_id, model_probability, round(ev, 6) AS expected_return,
+  SELECT quote_id, model_probability, round(ev, 6) + 0.0::DOUBLE AS expected_return,
          CASE WHEN ev >= 0.05 THEN 'BET' WHEN ev >= 0 THEN 'WATCH' ELSE 'PASS' END AS rating FROM v"""
 M["confidence"] = f"WITH {REQUESTS} SELECT request_id, round(conf, 6) AS overall_confidence FROM requests"
 M["stale_gate"] = f"""WITH {QUOTES}, a AS (SELECT quote_id, epoch(TIMESTAMP '1998-01-01 00:50:00') - epoch(captured_at) AS age FROM quotes)
@@ -231,7 +231,7 @@ M["opening_quote"] = f"""WITH {QUOTES} SELECT quote_id, first_value(line) OVER s
 
 BETS = """bets AS (
   SELECT o_orderkey AS bet_id, o_custkey AS player_id, o_custkey // 4 AS event_id, o_orderkey % 8 AS book_id, o_orderpriority AS market,
-         CASE WHEN o_orderkey % 2 = 0 THEN 'over' ELSE 'under' END AS side,
+         CASE WHEN (o_orderkey // 2) % 2 = 0 THEN 'over' ELSE 'under' END AS side,
          CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 9 + 0.5::DOUBLE END AS line,
          CAST(CASE WHEN o_orderkey % 3 = 0 THEN 100 + o_orderkey % 150 ELSE -(100 + o_orderkey % 50) END AS INT) AS american_odds,
          CAST(floor(o_totalprice / 100) / 100.0::DOUBLE AS DECIMAL(10,2)) AS stake, (o_orderkey % 41 - 20) / 100.0::DOUBLE AS expected_value,
@@ -249,16 +249,28 @@ BETS = """bets AS (
 book AS (
   SELECT *, CASE WHEN american_odds > 0 THEN 1 + american_odds / 100.0::DOUBLE ELSE 1 + 100.0::DOUBLE / -american_odds END AS bd,
          CASE WHEN closing_odds > 0 THEN 1 + closing_odds / 100.0::DOUBLE WHEN closing_odds < 0 THEN 1 + 100.0::DOUBLE / -closing_odds END AS cd,
-         CASE WHEN outcome = 'LOSS' THEN -CAST(round(stake * 100) AS BIGINT) WHEN outcome = 'PUSH' THEN 0
-              WHEN outcome = 'WIN' AND american_odds > 0 THEN CAST(round(stake * 100) AS BIGINT) * american_odds
-              WHEN outcome = 'WIN' THEN CAST(round(stake * 100) AS BIGINT) * 100 END AS num,
-         CASE WHEN outcome = 'WIN' AND american_odds > 0 THEN 100 WHEN outcome = 'WIN' THEN -american_odds ELSE 1 END AS den
-  FROM bets),
+         CAST(round(stake * 100) AS HUGEINT) AS cents, abs(american_odds) AS a FROM bets),
+scaled AS (
+  SELECT *, cents * CASE WHEN american_odds > 0 THEN american_odds * CAST('10000000000000000000000000' AS HUGEINT)
+                         ELSE CAST('100000000000000000000000000000' AS HUGEINT) // a
+                              + CASE WHEN 2 * (CAST('100000000000000000000000000000' AS HUGEINT) % a) >= a THEN 1 ELSE 0 END END AS raw
+  FROM book),
+cut AS (
+  SELECT *, CASE WHEN american_odds > 0 THEN CAST(1 AS HUGEINT)
+                 ELSE CAST('1' || repeat('0', greatest(0, CAST(length(CAST(raw AS VARCHAR)) AS INT) - 28)) AS HUGEINT) END AS step FROM scaled),
+kept AS (
+  SELECT *, (raw // step + CASE WHEN 2 * (raw % step) > step OR (2 * (raw % step) = step AND (raw // step) % 2 = 1) THEN 1 ELSE 0 END) * step AS p,
+         CAST('1000000000000000000000000000' AS HUGEINT) AS unit FROM cut),
 done AS (
-  SELECT *, CASE WHEN num IS NOT NULL THEN CAST((num // den + CASE WHEN 2 * (num % den) > den OR (2 * (num % den) = den AND (num // den) % 2 = 1)
-                      THEN 1 ELSE 0 END) / 100.0::DOUBLE AS DECIMAL(12,2)) END AS net_profit,
+  SELECT *, CASE WHEN outcome = 'LOSS' THEN -stake WHEN outcome = 'PUSH' THEN 0 WHEN outcome = 'WIN' THEN
+              CAST(CAST(p // unit + CASE WHEN 2 * (p % unit) > unit OR (2 * (p % unit) = unit AND (p // unit) % 2 = 1) THEN 1 ELSE 0 END AS BIGINT)
+                   / 100.0::DOUBLE AS DECIMAL(12,2)) END AS net_profit,
          CASE WHEN side = 'over' AND line <> closing_line THEN line < closing_line WHEN side = 'under' AND line <> closing_line THEN line > closing_line
-              ELSE bd > cd END AS beat FROM book)"""
+              ELSE bd > cd END AS beat FROM kept)"""
+M["list_recommendations"] = f"""WITH {BETS} SELECT bet_id, player_id, market, expected_value, placed_at FROM bets WHERE rating = 'WATCH'
+  ORDER BY placed_at DESC, bet_id DESC LIMIT 100"""
+M["list_bets"] = f"""WITH {BETS} SELECT bet_id, player_id, stake, status, placed_at FROM bets WHERE status = 'CLOSED'
+  ORDER BY placed_at DESC, bet_id DESC LIMIT 100"""
 FRESH = f"""{BETS}, fresh AS (SELECT bet_id AS request_id, * FROM bets WHERE status = 'ACTIVE'),
 open_bets AS (SELECT * FROM bets WHERE status = 'CLOSED')"""
 M["duplicate_open_bet"] = f"""WITH {FRESH} SELECT request_id FROM fresh f WHERE EXISTS (
@@ -383,3 +395,6 @@ M["ingest_audit"] = f"""WITH {POLLS} SELECT p.poll_id, p.provider,
   CASE WHEN p.number % 41 = 0 THEN 'deadline api_key=[REDACTED] passed' WHEN u.again IS NULL THEN 'Provider payload contained no valid offers.' END AS error_message,
   CASE WHEN u.again = false THEN 1 ELSE 0 END AS row_count
   FROM p LEFT JOIN usable u USING (poll_id)"""
+M["movement_pages"] = ORACLES["movement_points"].replace("SELECT event_id", ", points AS (SELECT event_id").rstrip() + """)
+  SELECT event_id, player_id, market, side, book_id, CAST((point_no - 1) // 5 AS INT) AS page_no, count(*) AS points,
+         string_agg(direction, ';' ORDER BY point_no) AS directions FROM points GROUP BY ALL"""

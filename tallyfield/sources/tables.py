@@ -107,7 +107,7 @@ def bets(spark: SparkSession, directory: str) -> DataFrame:
         F.floor(F.col("o_custkey") / 4).alias("event_id"),
         (key % 8).alias("book_id"),
         F.col("o_orderpriority").alias("market"),
-        F.when(key % 2 == 0, "over").otherwise("under").alias("side"),
+        F.when(F.floor(key / 2) % 2 == 0, "over").otherwise("under").alias("side"),
         line.alias("line"),
         F.when(key % 3 == 0, 100 + key % 150).otherwise(-(100 + key % 50)).cast("int").alias("american_odds"),
         (F.floor(F.col("o_totalprice") / 100) / 100.0).cast("decimal(10,2)").alias("stake"),
