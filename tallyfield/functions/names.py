@@ -28,18 +28,17 @@ def ascii_fold(name: Column) -> Column:
 
 
 def normalize_name(name: Column) -> Column:
-    """Lower-case alphanumeric tokens without suffix, initials merged, first name expanded."""
-    tokens = F.regexp_extract_all(F.lower(ascii_fold(name)), F.lit("([a-z0-9]+)"), 1)
-    size = F.size(tokens)
-    last = F.get(tokens, size - 1)
-    tokens = F.when(last.isin(*SUFFIXES), F.slice(tokens, 1, F.greatest(size - 1, F.lit(0)))).otherwise(tokens)
-    joined = F.array_join(tokens, " ")
+    """Lower-case alphanumeric tokens without suffix, initials merged, first name expanded.
+
+    A chain of replacements in which every step reads its input once.
+    """
+    text = F.trim(F.regexp_replace(F.lower(ascii_fold(name)), "[^a-z0-9]+", " "))
+    text = F.regexp_replace(text, f"(^| )({'|'.join(SUFFIXES)})$", "")
     # Two leading one-character tokens merge while a further token follows.
-    merged = F.regexp_replace(joined, "^([a-z0-9]) ([a-z0-9]) ", "$1$2 ")
-    first = F.substring_index(merged, " ", 1)
-    known = F.create_map(*[F.lit(v) for pair in FIRST_NAMES.items() for v in pair])
-    rest = F.substring(merged, F.length(first) + 1, F.length(merged))
-    return F.concat(F.coalesce(F.try_element_at(known, first), first), rest)
+    text = F.regexp_replace(text, "^([a-z0-9]) ([a-z0-9]) ", "$1$2 ")
+    for short, full in FIRST_NAMES.items():
+        text = F.regexp_replace(text, f"^{short}(?= |$)", full)
+    return text
 
 
 def book_key(name: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tallyfield.functions.names import normalize_name
 from tallyfield.operators.scan import look_back, ordered
+from tallyfield.session import materialize
 
 
 class ContractError(ValueError):
@@ -177,6 +178,8 @@ def flag_offers(offers: DataFrame, now, stale_event_hours: int = 6, payload: str
     rows = offers.withColumns(
         {"reject_category": category, "normalized_name": normalize_name(F.col("player")), "_book": F.lower("bookmaker")}
     )
+    # Parsed and normalised once; the checks below read it several times.
+    rows = materialize(rows)
     valid = F.col("reject_category").isNull()
     passed = alias_variation(rows.filter(valid), [payload, "normalized_name"], "player", "record_index")
     kept = first_of_contract(passed, [payload, *CONTRACT_KEY], "record_index")
