@@ -2,29 +2,58 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Generational suffixes and common short first names.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 FIRST_NAMES = {"gabe": "gabriel", "mike": "michael", "will": "william"}
 
 
-@F.pandas_udf(T.StringType())
-def _compatibility_ascii(names: pd.Series) -> pd.Series:
-    return names.map(
-        lambda v: unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode(), na_action="ignore"
-    )
+@lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decomposition of every character that has an ASCII part.
+
+    Derived from the Unicode database: characters folding to one ASCII character as a
+    translation pair of strings, the others as a map.
+    """
+    single, target, longer = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if unicodedata.decomposition(char) == "":
+            continue
+        folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
+        if len(folded) == 1:
+            single.append(char)
+            target.append(folded)
+        elif folded:
+            longer[char] = folded
+    return "".join(single), "".join(target), longer
 
 
 def ascii_fold(name: Column) -> Column:
-    """Compatibility-decomposed ASCII; only non-ASCII values travel to Python."""
-    foreign = name.rlike(r"[^\x00-\x7f]")
-    return F.coalesce(_compatibility_ascii(F.when(foreign, name)), name)
+    """Compatibility-decomposed ASCII, inside the JVM.
+
+    Decomposition works per character and marks are dropped anyway, so a character table is
+    exact. Plain ASCII names are returned untouched.
+    """
+    single, target, longer = _folds()
+    several = "[" + "".join(longer) + "]"
+    expansions = F.create_map(*[F.lit(v) for pair in longer.items() for v in pair])
+    spelled = F.array_join(
+        F.transform(
+            F.regexp_extract_all(name, F.lit("(?s)(.)"), 1),
+            lambda c: F.coalesce(F.try_element_at(expansions, c), c),
+        ),
+        "",
+    )
+    text = F.when(name.rlike(several), spelled).otherwise(name)
+    folded = F.regexp_replace(F.translate(text, single, target), r"[^\x00-\x7f]", "")
+    return F.when(name.rlike(r"[^\x00-\x7f]"), folded).otherwise(name)
 
 
 def normalize_name(name: Column) -> Column:
