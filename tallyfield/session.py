@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -46,9 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
         _local_scratch[app] = tempfile.mkdtemp(prefix="tallyfield-")
+        atexit.register(shutil.rmtree, _local_scratch[app], True)
     return _local_scratch[app]
 
 
+def _stage_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallyfield-{spark.sparkContext.applicationId}"
+
+
+def release_stages(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; frames built on them end here."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -56,7 +69,7 @@ def materialize(df: DataFrame) -> DataFrame:
     the same for every reader, also after an executor is lost.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{_stage_root(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
