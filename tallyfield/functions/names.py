@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -43,7 +44,8 @@ def ascii_fold(name: Column) -> Column:
     """
     single, target, longer = _folds()
     several = "[" + "".join(longer) + "]"
-    expansions = F.create_map(*[F.lit(v) for pair in longer.items() for v in pair])
+    # A foldable expression: the optimizer turns it into one literal map.
+    expansions = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
     spelled = F.array_join(
         F.transform(
             F.regexp_extract_all(name, F.lit("(?s)(.)"), 1),

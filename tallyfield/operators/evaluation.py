@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.poisson import over_fixed_line
 from tallyfield.operators.scan import exact_quantiles, ordered, running
+from tallyfield.session import with_one_row
 
 KEY = ["source_player_id", "game_id"]
 # Baselines with level and distribution; the career mean is not governed.
@@ -273,7 +274,7 @@ def residual_summary(rows: DataFrame, groups: list[str]) -> DataFrame:
     )
     wanted = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
     shape = exact_quantiles(residuals, groups, "residual", wanted)
-    return basics.join(shape, groups) if groups else basics.crossJoin(shape)  # one row each
+    return basics.join(shape, groups) if groups else with_one_row(basics, shape)
 
 
 def prediction_bias(metrics: DataFrame, groups: list[str], learned: str, baseline: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import WindowSpec
 from tallyfield.operators import quality
 from tallyfield.operators.scan import look_back, ordered, running
 from tallyfield.plans.registry import ENABLED, TABLE_COLUMNS, Feature
+from tallyfield.session import materialize
 
 GAME_ORDER = ["kickoff", "game_id"]
 PLAYER = "source_player_id"
@@ -205,7 +206,8 @@ def build_feature_table(
     if strict:
         check_inputs(training, stats, snap_counts, participation)
     joined = attach_stats(training, stats)
-    context = team_context(team_games(joined, stats))
+    # One small row per team and game; both context windows read it.
+    context = team_context(materialize(team_games(joined, stats)))
     rows = joined.join(context, ["season", "game_id", "team"], "left")
     rows = optional_usage(rows, snap_counts, "snap_share")
     rows = optional_usage(rows, participation, "route_participation")

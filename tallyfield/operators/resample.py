@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.operators.evaluation import DEVIANCE_EPSILON, deviance_term
+from tallyfield.session import with_one_row
 
 # Default protocol.
 ITERATIONS, SEED, CONFIDENCE = 10_000, 50_000, 0.95
@@ -102,7 +103,7 @@ def paired_mae_bootstrap(
         F.struct(F.lit(c).alias("candidate"), F.col(f"gain_{i}").alias("difference"), F.col(f"gain_{i}_ci").alias("_ci"))
         for i, c in enumerate(candidates)
     ]
-    both = observed.crossJoin(intervals)  # one row each
+    both = with_one_row(observed, intervals)
     return both.select("_mae", "sample_count", F.inline(F.array(*entries))).select(
         "candidate",
         "difference",

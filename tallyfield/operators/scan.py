@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from tallyfield.session import materialize, rows_per_task
+from tallyfield.session import materialize, rows_per_task, with_one_row
 
 CHUNK = "_chunk"
 _BORROWED = "_borrowed"
@@ -185,7 +185,7 @@ def exact_quantiles(
             *[ranked[c] for c in ranked.columns], size["_total"]
         )
     else:
-        both = ranked.join(F.broadcast(size), F.lit(True))  # one row
+        both = with_one_row(ranked, size)
     picks = []
     for name, p in probabilities.items():
         position = (F.col("_total") - 1) * F.lit(float(p))

@@ -14,7 +14,7 @@ from tallyfield.plans import evaluate, training
 from tallyfield.plans.catalog import query, rounded
 from tallyfield.plans.oracles_research import CONTEXT_NAMES, FEATURE_SLICES
 from tallyfield.plans.registry import FEATURE_NAMES, TABLE_COLUMNS
-from tallyfield.session import materialize, shared_dir
+from tallyfield.session import materialize, shared_dir, with_one_row
 from tallyfield.sources import datasets, tables
 
 KEY = ev.KEY
@@ -143,7 +143,7 @@ def check_contract(spark, sf):
         rows.append((name, ",".join(quality.missing_columns(found[frame], contract.required, contract.any_of))))
     verdicts = spark.createDataFrame(rows, "contract string, missing string")
     sizes = g.agg(F.count("*").alias("rows"))
-    return verdicts.crossJoin(sizes)  # one row
+    return with_one_row(verdicts, sizes)
 
 
 @query

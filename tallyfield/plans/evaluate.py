@@ -16,7 +16,7 @@ from tallyfield.operators import evaluation as ev
 from tallyfield.operators import poisson_model as pm
 from tallyfield.operators import resample
 from tallyfield.plans.registry import FEATURE_NAMES
-from tallyfield.session import materialize
+from tallyfield.session import materialize, with_one_row
 
 LEARNED = "learned"
 
@@ -224,22 +224,19 @@ def evaluate_learned(
         aligned.select("actual", F.col("learned").alias("prediction"), F.lit(LEARNED).alias("model")), ["model"]
     )
     total = held_out.agg(F.count("*").alias("_all"))
-    learned = learned.crossJoin(total).withColumn("coverage", F.col("sample_count") / F.col("_all")).drop("_all")  # one row each
+    learned = with_one_row(learned, total).withColumn("coverage", F.col("sample_count") / F.col("_all")).drop("_all")
     comparison = resample.paired_mae_bootstrap(aligned, ev.KEY, "baseline", "learned", iterations=iterations, seed=seed)
     base = base_metrics.filter(F.col("model") == strongest).select(
         F.col("mae").alias("b_mae"), F.col("calibration_error").alias("b_ece"), F.col("poisson_deviance").alias("b_dev")
     )
-    gates = (
-        learned.crossJoin(base)  # one row each
-        .crossJoin(comparison.select("statistically_significant_improvement"))
-        .select(
-            (F.col("mae") < F.col("b_mae")).alias("lower_mae"),
-            F.col("statistically_significant_improvement").alias("statistically_significant_mae_improvement"),
-            (F.col("calibration_error") <= F.col("b_ece")).alias("equal_or_better_calibration"),
-            (F.col("poisson_deviance") < F.col("b_dev")).alias("improved_poisson_deviance"),
-            F.lit("RESEARCH").alias("decision"),
-            F.lit(strongest).alias("strongest_baseline"),
-        )
+    both = with_one_row(with_one_row(learned, base), comparison.select("statistically_significant_improvement"))
+    gates = both.select(
+        (F.col("mae") < F.col("b_mae")).alias("lower_mae"),
+        F.col("statistically_significant_improvement").alias("statistically_significant_mae_improvement"),
+        (F.col("calibration_error") <= F.col("b_ece")).alias("equal_or_better_calibration"),
+        (F.col("poisson_deviance") < F.col("b_dev")).alias("improved_poisson_deviance"),
+        F.lit("RESEARCH").alias("decision"),
+        F.lit(strongest).alias("strongest_baseline"),
     )
     return {
         "models": models,

@@ -74,6 +74,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row frame beside every row of ``df``."""
+    constant = F.lit(1)
+    return df.withColumn("_one", constant).join(F.broadcast(row.withColumn("_one", constant)), "_one").drop("_one")
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Hint a broadcast only after checking the row count; otherwise leave the join to AQE."""
     if df.limit(max_rows + 1).count() <= max_rows:

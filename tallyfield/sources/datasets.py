@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyfield.functions.digests import table_digest
 from tallyfield.operators import quality
 from tallyfield.plans.registry import FEATURES, table_schema
+from tallyfield.session import with_one_row
 
 KEY_ORDER = ("kickoff", "game_id", "source_player_id")
 
@@ -32,7 +33,7 @@ def write_dataset(rows: DataFrame, root: str, sources: dict[str, str], **facts:
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/data")
     stored = rows.sparkSession.read.parquet(f"{path}/data")
     seasons = stored.agg(F.sort_array(F.collect_set("season")).alias("seasons"))  # a season list is short
-    manifest = table_digest(stored).crossJoin(seasons)  # one row each
+    manifest = with_one_row(table_digest(stored), seasons)
     entries = F.map_from_arrays(
         F.array(*[F.lit(k) for k in sources]).cast("array<string>"),
         F.array(*[F.lit(v) for v in sources.values()]).cast("array<string>"),
