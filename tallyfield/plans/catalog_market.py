@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions import digests, names, policy
+from tallyfield.functions import digests, names, poisson, policy
 from tallyfield.functions.odds import expected_return, rating
 from tallyfield.operators import feeds, logs, market, paper, projections, quality
 from tallyfield.plans.catalog import query, rounded
@@ -387,6 +387,22 @@ def score_count_lines(spark, sf):
     )
 
 
+@query
+def poisson_over(spark, sf):
+    li = tables.table(spark, sf, "lineitem")
+    rate = F.col("l_quantity") / 7
+    return li.groupBy(F.col("l_quantity").alias("quantity")).agg(
+        F.count("*").alias("rows"), F.round(F.avg(poisson.over_fixed_line(rate, 4.5)), 6).alias("over_probability")
+    )
+
+
+@query
+def data_age_seconds(spark, sf):
+    rows = _requests(spark, sf)
+    age = policy.data_age_seconds(F.col("decided_at"), F.col("input_captured_at"))
+    return rows.select("request_id", age.alias("data_age_seconds"))
+
+
 @query
 def project_receptions(spark, sf):
     li = tables.table(spark, sf, "lineitem")

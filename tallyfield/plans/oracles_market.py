@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallyfield.plans.oracles import ORACLES, QUOTES
-from tallyfield.plans.oracles_research import GAMES, SCHEDULE
+from tallyfield.plans.oracles_research import GAMES, SCHEDULE, over
 
 M: dict[str, str] = {}
 
@@ -224,6 +224,11 @@ M["project_receptions"] = f"""WITH s AS (
   FROM lineitem), {poisson_tables("s", "recs")}
   SELECT l_orderkey, l_partkey, line, round(targets, 6) AS projected_targets, round(recs, 6) AS projected_receptions, {line_scores("recs")}"""
 
+M["poisson_over"] = f"""SELECT l_quantity AS quantity, count(*) AS rows, round(avg({over("(l_quantity / 7)")}), 6) AS over_probability
+  FROM lineitem GROUP BY 1"""
+M["data_age_seconds"] = f"""WITH {REQUESTS} SELECT request_id,
+  greatest(0, CAST(epoch(decided_at) - epoch(input_captured_at) AS BIGINT)) AS data_age_seconds FROM requests"""
+
 # --- paper bets -----------------------------------------------------------------------
 
 M["opening_quote"] = f"""WITH {QUOTES} SELECT quote_id, first_value(line) OVER s AS opening_line, first_value(american_odds) OVER s AS opening_odds
