@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import simhash
+from tallyfield.llm import pieces, simhash
 from tallyfield.llm.common import prepare
 
+PIECE_FILE = "piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -25,6 +27,19 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op1_sentencepiece(spark, sf):
+    """Encode and decode all documents; counts and digests of the results."""
+    return pieces.digests(pieces.encode_decode(documents(spark, sf), tokenizer_file(PIECE_FILE)))
+
+
 @query
 def op9_simhash(spark, sf):
     """Near-duplicate groups of all documents."""
