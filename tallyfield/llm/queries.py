@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import pieces, simhash
+from tallyfield.llm import mixing, pieces, sharding, simhash
 from tallyfield.llm.common import prepare
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -40,7 +40,19 @@ def op1_sentencepiece(spark, sf):
     return pieces.digests(pieces.encode_decode(documents(spark, sf), tokenizer_file(PIECE_FILE)))
 
 
+@query
+def op5_sharding(spark, sf):
+    """Eight contiguous shards of nearly equal bytes."""
+    return sharding.byte_shards(documents(spark, sf))
+
+
 @query
 def op9_simhash(spark, sf):
     """Near-duplicate groups of all documents."""
     return simhash.near_duplicates(documents(spark, sf))
+
+
+@query
+def op10_mixing(spark, sf):
+    """Words that the mix takes of every document."""
+    return mixing.taken_words(documents(spark, sf))

@@ -219,4 +219,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = store(keyed.select("doc_id", fingerprint_column(F.col("text")).alias("fingerprint")), "doc-prints")
     groups = component_of_fingerprints(prints)
     kept = groups.df.select(F.col("component_id").alias("_kept")).distinct()
-    return docs.join(kept, key == F.col("_kept")).dropDuplicates(["_kept"]).drop("_kept")
+    rows = docs.select(key.alias("_key"), F.struct("*").alias("_row"))
+    return rows.join(kept, F.col("_key") == F.col("_kept")).dropDuplicates(["_kept"]).select("_row.*")

@@ -1,3 +1,75 @@
 """DuckDB twins of the registered queries that SQL can express on whole tables."""
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op5_sharding"] = r"""
+with recursive crc_table as (  -- the 256 remainders of the reflected CRC-32 polynomial
+  select i, 0 as step, i::ubigint as v from range(256) t(i)
+  union all
+  select i, step + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end
+  from crc_table where step < 8
+),
+crc as (select list(v order by i) as t from crc_table where step = 8),
+sized as (
+  select doc_id, coalesce(strlen(text), 0) + 1 as size,
+    xor(list_reduce(
+      list_concat([4294967295::ubigint],
+        [('0x' || hex(encode(coalesce(text, '')))[2 * k + 1 : 2 * k + 2])::ubigint
+         for k in range(coalesce(strlen(text), 0)::int)]),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::int + 1])), 4294967295::ubigint)::bigint as text_crc32
+  from documents, crc
+),
+summed as (
+  select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) as e,
+    sum(size) over () as total
+  from sized
+),
+placed as (select *, (((2 * e - size) * 8) // (2 * total))::int as shard from summed)
+select doc_id, size, text_crc32, 'bytes' as law, shard,
+  row_number() over (partition by shard order by e) - 1 as slot, null::int as grown_shard
+from placed
+"""
+
+ORACLES["op10_mixing"] = r"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    md5('mix-1:' || doc_id) as place
+  from documents
+),
+sources as (
+  select source, sum(size)::bigint as source_size, 2 * sum(size)::bigint as cap,
+    [3, 1, 2][((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::int] as weight
+  from sized group by source
+),
+leveled as (
+  select *, cap / weight as ratio,
+    (1.5 * sum(source_size) over () - coalesce(sum(cap) over before, 0))
+      / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+  from sources
+  window before as (order by cap / weight, encode(source) nulls last rows between unbounded preceding and 1 preceding)
+),
+level as (select max(level) as level from leveled where level <= ratio),
+targets as (
+  select source, source_size, least(cap::double, coalesce((select level from level) * weight, cap)) as target
+  from leveled
+),
+queue as (
+  select s.*, source_size, target,
+    coalesce(sum(size) over (partition by s.source order by
+      ('0x' || place[1:8])::bigint % 1024, place, size rows between unbounded preceding and 1 preceding), 0) as before
+  from sized s join targets t on s.source is not distinct from t.source
+),
+entries as (
+  select *, (source_size * copy + before + size) / target as finish
+  from queue, (values (0), (1)) c(copy) where size > 0
+),
+run as (
+  select *, sum(size) over (order by finish, place, copy rows unbounded preceding) as e from entries
+),
+taken as (
+  select doc_id, sum(size) as taken from run
+  where e <= 1.5 * (select sum(size) from sized) group by doc_id
+)
+select q.doc_id, q.size::bigint as size, q.source_size, q.target, coalesce(t.taken, 0)::bigint as taken
+from queue q left join taken t on q.doc_id = t.doc_id
+"""
