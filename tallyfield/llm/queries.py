@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import mixing, pieces, sharding, simhash
+from tallyfield.llm import mixing, pieces, sharding, simhash, token_store
 from tallyfield.llm.common import prepare
 
 PIECE_FILE = "piece_bpe_32k.model"
+WORD_FILE = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,6 +47,13 @@ def op5_sharding(spark, sf):
     return sharding.byte_shards(documents(spark, sf))
 
 
+@query
+def op8_token_store(spark, sf):
+    """Write all documents as compressed token ids, read the store back and digest it."""
+    path = token_store.write_tokens(documents(spark, sf), tokenizer_file(WORD_FILE))
+    return token_store.digests(token_store.read_tokens(spark, path))
+
+
 @query
 def op9_simhash(spark, sf):
     """Near-duplicate groups of all documents."""
