@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import mixing, pieces, sharding, simhash, token_store
+from tallyfield.llm import mixing, pieces, quality, sharding, simhash, token_store, toxicity
 from tallyfield.llm.common import prepare
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/documents.parquet")
 
 
+def labels(spark: SparkSession, directory: str) -> DataFrame:
+    return spark.read.parquet(f"{directory}/labels.parquet")
+
+
 def tokenizer_file(name: str) -> str:
     """Where the installed package of public tokenizers keeps a file."""
     import public_tokenizers
@@ -41,12 +45,24 @@ def op1_sentencepiece(spark, sf):
     return pieces.digests(pieces.encode_decode(documents(spark, sf), tokenizer_file(PIECE_FILE)))
 
 
+@query
+def op3_toxicity(spark, sf):
+    """Toxicity score of all documents."""
+    return toxicity.score_documents(documents(spark, sf), labels(spark, sf))
+
+
 @query
 def op5_sharding(spark, sf):
     """Eight contiguous shards of nearly equal bytes."""
     return sharding.byte_shards(documents(spark, sf))
 
 
+@query
+def op7_quality(spark, sf):
+    """Quality score of all documents."""
+    return quality.score_documents(documents(spark, sf), labels(spark, sf))
+
+
 @query
 def op8_token_store(spark, sf):
     """Write all documents as compressed token ids, read the store back and digest it."""
