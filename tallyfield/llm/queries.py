@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import mixing, pieces, quality, sharding, simhash, token_store, toxicity
+from tallyfield.llm import mixing, pieces, ppm, quality, sharding, simhash, token_store, toxicity
 from tallyfield.llm.common import prepare
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -51,6 +51,12 @@ def op3_toxicity(spark, sf):
     return toxicity.score_documents(documents(spark, sf), labels(spark, sf))
 
 
+@query
+def op4_ppm(spark, sf):
+    """Log10 probability of all documents under the trie and under smoothed unigrams."""
+    return ppm.score_documents(documents(spark, sf))
+
+
 @query
 def op5_sharding(spark, sf):
     """Eight contiguous shards of nearly equal bytes."""
