@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import mixing, pieces, ppm, quality, sharding, simhash, token_store, toxicity
+from tallyfield.llm import embedding, mixing, pieces, ppm, quality, sharding, simhash, token_store, toxicity
 from tallyfield.llm.common import prepare
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -28,6 +28,10 @@ def documents(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/documents.parquet")
 
 
+def embeddings(spark: SparkSession, directory: str) -> DataFrame:
+    return spark.read.parquet(f"{directory}/embeddings.parquet")
+
+
 def labels(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/labels.parquet")
 
@@ -45,6 +49,12 @@ def op1_sentencepiece(spark, sf):
     return pieces.digests(pieces.encode_decode(documents(spark, sf), tokenizer_file(PIECE_FILE)))
 
 
+@query
+def op2_embedding_dedup(spark, sf):
+    """Near-duplicate groups of all vectors of a label."""
+    return embedding.near_duplicates(embeddings(spark, sf))
+
+
 @query
 def op3_toxicity(spark, sf):
     """Toxicity score of all documents."""
