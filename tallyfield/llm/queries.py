@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import embedding, mixing, pieces, ppm, quality, sharding, simhash, token_store, toxicity
+from tallyfield.llm import ann, embedding, mixing, pieces, ppm, quality, sharding, simhash, token_store, toxicity
 from tallyfield.llm.common import prepare
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -73,6 +73,12 @@ def op5_sharding(spark, sf):
     return sharding.byte_shards(documents(spark, sf))
 
 
+@query
+def op6_nearest(spark, sf):
+    """Five nearest vectors of every fiftieth."""
+    return ann.nearest(embeddings(spark, sf))
+
+
 @query
 def op7_quality(spark, sf):
     """Quality score of all documents."""
