@@ -1,30 +1,78 @@
-"""Clean, deduplicate, mix and tokenise the documents table, stage by stage."""
+"""Clean, deduplicate, mix and tokenise the documents table, stage by stage.
+
+Each stage takes the documents that its predecessor kept and returns them with the columns
+of the documents table; the last one returns token ids. Models are fitted on the labels
+table next to the documents and, as in the single queries, never on the held-out folds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyfield.llm import simhash
+from tallyfield.llm import mixing, pieces, quality, simhash, toxicity
 from tallyfield.llm.common import prepare, store
+from tallyfield.llm.queries import PIECE_FILE, labels, tokenizer_file
 
+#: The classifiers have no SQL form; the tests compare run() with brute force.
 ORACLE_SQL = None
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    prepare(spark)
+    return toxicity.keep_clean(docs, labels(spark, sf_dir))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go."""
+    prepare(spark)
+    return quality.keep_good(docs, labels(spark, sf_dir))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     prepare(spark)
     return simhash.keep_one(docs)
 
 
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    prepare(spark)
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``source``, ``n_tokens``, ``ids`` and the digest of the decoded text."""
+    prepare(spark)
+    model = pieces.load_model(tokenizer_file(PIECE_FILE))
+    coded = docs.select("doc_id", "source", pieces.encode_column(spark, F.col("text"), model).alias("ids"))
+    decoded = pieces.decode_column(spark, F.col("ids"), model)
+    return coded.select(
+        "doc_id",
+        "source",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 STAGES = [
-    ("near_duplicates", near_duplicates),
+    ("toxicity", without_toxic),
+    ("quality", good_quality),
+    ("simhash", near_duplicates),
+    ("mixing", mixed_sources),
+    ("sentencepiece", token_ids),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents table; each result is written and read again."""
+    """All stages on the documents table; the result of each is written and read again."""
     prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name).df
+        after = store(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.drop()
+        docs, before = after.df, after
     return docs
