@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tallyfield.llm.labelled import held_out, labelled_sample
 
 #: Labelled rows that a fit takes at most of each class, the first by hash of doc_id.
-SAMPLE = {1: 800, 0: 1600}
+SAMPLE = {1: 700, 0: 1300}
 THRESHOLD = 0.7
 HELD_OUT = (3, 1)
 GRAMS = (3, 4, 5, 6)
@@ -49,7 +49,7 @@ START_BIAS = -4.0
 #: Averages over many n-grams are small; the scale keeps their gradients in range.
 SCALE = 50.0
 SEED = 7
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 _PRIME = np.uint64(0x100000001B3)
 
 
@@ -116,23 +116,56 @@ class _Bags:
         return self.grams[at], self.weights[at], owner
 
 
+def _narrow(buckets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return buckets.astype(np.int32), sizes.astype(np.int32)
+
+
 def _bags(cut: list[set[str]]) -> _Bags:
-    """Bags of passages, without the n-grams of fewer than ``LEAST_PASSAGES`` passages."""
+    """Bags of passages, without the n-grams of fewer than ``LEAST_PASSAGES`` passages.
+
+    The n-grams of all passages are counted first and kept second, in pieces, so that those
+    which are left out never lie in memory together.
+    """
     words = sorted(set().union(*cut))
-    buckets, sizes = subwords(words)
+    each = [_narrow(*subwords(words[at : at + 10_000])) for at in range(0, len(words), 10_000)]
+    buckets = np.concatenate([b for b, _ in each])
+    sizes = np.concatenate([s for _, s in each])
     ends = np.cumsum(sizes)
+    del each
     place = dict(zip(words, range(len(words)), strict=True))
     lengths = np.array([len(c) for c in cut])
-    at = np.fromiter((place[w] for c in cut for w in sorted(c)), dtype=np.int64, count=int(lengths.sum()))
-    row = np.repeat(np.arange(len(cut)), lengths)
-    at_sizes = sizes[at]
-    spread = np.arange(int(at_sizes.sum())) + np.repeat(ends[at] - np.cumsum(at_sizes), at_sizes)
-    weight = np.repeat(1 / ((lengths[row] + BLANKS) * at_sizes), at_sizes).astype(np.float32)
-    found, owner = buckets[spread], np.repeat(row, at_sizes)
-    common = np.bincount(found, minlength=BUCKETS)[found] >= min(LEAST_PASSAGES, max(1, len(cut) // 50))
-    found, weight, owner = found[common], weight[common], owner[common]
-    kept, grams = np.unique(found, return_inverse=True)
-    return _Bags(kept, grams, weight, np.searchsorted(owner, np.arange(len(cut) + 1)))
+    at = np.fromiter((place[w] for c in cut for w in sorted(c)), dtype=np.int32, count=int(lengths.sum()))
+    del place, words
+    firsts = np.cumsum(lengths) - lengths
+
+    def pieces() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for low in range(0, len(cut), 500):
+            own = slice(firsts[low], firsts[low] + lengths[low : low + 500].sum())
+            here, each = at[own], sizes[at[own]]
+            spread = np.arange(int(each.sum())) + np.repeat(ends[here] - np.cumsum(each), each)
+            yield low, buckets[spread], each
+
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for _, found, _ in pieces():
+        counts += np.bincount(found, minlength=BUCKETS)
+    kept = np.flatnonzero(counts >= min(LEAST_PASSAGES, max(1, len(cut) // 50)))
+    number = np.full(BUCKETS, -1, dtype=np.int32)
+    number[kept] = np.arange(len(kept))
+    grams, weights, sums = [], [], []
+    for low, found, each in pieces():
+        size = lengths[low : low + 500]
+        row = np.repeat(np.arange(len(size)), size)
+        weight = np.repeat(1 / ((size[row] + BLANKS) * each), each)
+        gram, row = number[found], np.repeat(row, each)
+        known = gram >= 0
+        grams.append(gram[known])
+        weights.append(weight[known].astype(np.float32))
+        sums.append(np.bincount(row[known], minlength=len(size)))
+    starts = np.concatenate([[0], np.cumsum(np.concatenate(sums))])
+    del buckets, sizes, at
+    joined = np.concatenate(grams)
+    grams.clear()
+    return _Bags(kept, joined, np.concatenate(weights), starts)
 
 
 @dataclass(frozen=True)
