@@ -20,7 +20,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def prepare(spark: SparkSession) -> SparkSession:
     """Runtime options of the library, and Arrow batches that stay small with long texts."""
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
 
 

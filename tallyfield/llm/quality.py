@@ -30,7 +30,7 @@ BUCKETS = 1 << 18
 COST = 1.0
 EPOCHS = 20
 SEED = 11
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _REPEAT = np.uint64(zlib.crc32(b"repeat") << 8)
 
