@@ -24,8 +24,8 @@ def implied_probability(odds: Column) -> Column:
 
 def exact_profit_factor(odds: Column) -> Column:
     """Decimal odds minus one to 27 decimals, for money."""
-    hundredth = (odds.cast("decimal(9,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(28,20)")
-    inverse = F.lit(100).cast("decimal(22,19)") / F.abs(odds).cast("decimal(7,0)")
+    hundredth = (odds.cast("decimal(10,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(28,20)")
+    inverse = F.lit(100).cast("decimal(19,16)") / F.abs(odds).cast("decimal(10,0)")
     return F.when(odds > 0, hundredth.cast("decimal(36,27)")).when(odds < 0, inverse.cast("decimal(36,27)"))
 
 
@@ -72,12 +72,13 @@ def settled_profit(outcome: Column, stake: Column, odds: Column) -> Column:
     that decides which repeating quotients count as an exact half cent.
     """
     # A positive price has two decimals, so its product is exact.
-    direct = stake.cast("decimal(12,2)") * (odds.cast("decimal(9,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(11,2)")
-    product = stake.cast("decimal(9,2)") * exact_profit_factor(odds).cast("decimal(28,27)")
-    digits = F.when(product >= 1_000_000, F.bround(product, 21).cast("decimal(38,28)"))
-    for whole in range(6, 0, -1):
+    direct = stake.cast("decimal(12,2)") * (odds.cast("decimal(10,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(12,2)")
+    # Below even money the factor has no whole digit, which leaves room for eight in the stake.
+    product = stake.cast("decimal(10,2)") * exact_profit_factor(odds).try_cast("decimal(27,27)")
+    digits = F.when(product >= 10_000_000, F.bround(product, 20).cast("decimal(38,28)"))
+    for whole in range(7, 0, -1):
         digits = digits.when(product >= 10 ** (whole - 1), F.bround(product, 28 - whole).cast("decimal(38,28)"))
     digits = digits.otherwise(product.cast("decimal(38,28)"))
-    win = F.when(odds > 0, F.bround(direct, 2)).otherwise(F.bround(digits, 2))
+    win = F.when(odds > 0, F.bround(direct, 2)).when(odds == -100, stake).otherwise(F.bround(digits, 2))
     amount = F.when(outcome == "WIN", win).when(outcome == "LOSS", -stake).otherwise(F.lit(0))
-    return amount.cast("decimal(12,2)")
+    return amount.cast("decimal(20,2)")

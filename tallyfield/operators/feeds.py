@@ -161,7 +161,7 @@ def new_aliases(resolved: DataFrame) -> DataFrame:
 
 
 def persist_offers(offers: DataFrame, players: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
-    """Dimension additions and fact rows for accepted offers.
+    """Dimension additions, fact rows for accepted offers, and the offers that are refused.
 
     Book and event keys are functions of their natural keys, so they need no lookup.
     Offers: offer_id, batch_id, provider, event_id, event_name, commence_time, bookmaker,
@@ -176,6 +176,9 @@ def persist_offers(offers: DataFrame, players: DataFrame, aliases: DataFrame) ->
         {"book_id": book_key(F.col("bookmaker")), "quote_id": F.col("offer_id"), "batch": F.col("batch_id")}
     )
     facts = vig_removal(facts.filter(F.col("player_id").isNotNull()))
+    # Names that are empty or claimed by two players get no fact row and are listed instead.
+    refused = named.join(resolved.select("provider", "raw_name", "tier", F.col("player_id").alias("_p")), ["provider", "raw_name"])
+    violations = refused.filter(F.col("_p").isNull()).select("offer_id", "provider", "raw_name", F.col("tier").alias("violation"))
     books = offers.groupBy(book_key(F.col("bookmaker")).alias("book_id")).agg(F.min("bookmaker").alias("name"))
     events = offers.groupBy("event_id").agg(F.min("event_name").alias("name"), F.min("commence_time").alias("commence_time"))
     return {
@@ -185,4 +188,5 @@ def persist_offers(offers: DataFrame, players: DataFrame, aliases: DataFrame) ->
         "aliases": new_aliases(resolved),
         "books": books,
         "events": events,
+        "violations": violations,
     }

@@ -122,16 +122,21 @@ def selection_outcomes(scored: DataFrame) -> DataFrame:
 
 
 def validity_gate(requests: DataFrame, leases: DataFrame, readiness: DataFrame) -> DataFrame:
-    """Approve or deny each request at its instant against its lease and readiness evidence."""
+    """Approve or deny each request at its instant against its lease and readiness evidence.
+
+    A request without a lease is denied as ``LEASE_NOT_FOUND``.
+    """
     # Any readiness row past its expiry is the earliest one past it.
     ready = readiness.groupBy("lease_id").agg(
         F.min("ready_expires_at").alias("ready_expires_at"), F.bool_or("superseded").alias("superseded")
     )
-    rows = requests.join(leases, "lease_id").join(ready, "lease_id", "left")
+    known = leases.withColumn("_known", F.lit(True))
+    rows = requests.join(known, "lease_id", "left").join(ready, "lease_id", "left")
     at = F.col("instant")
     reasons = F.array_sort(
         F.array_compact(
             F.array(
+                F.when(F.col("_known").isNull(), "LEASE_NOT_FOUND"),
                 F.when(~F.col("bounded") | (at < F.col("effective_at")), "LEASE_INAPPLICABLE"),
                 F.when(at > F.col("expires_at"), "LEASE_EXPIRED"),
                 F.when(F.col("revoked"), "LEASE_REVOKED"),

@@ -90,12 +90,34 @@ def stake_allocation(
     )
 
 
-def project_and_recommend(requests: DataFrame, quotes: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """From projection requests on a quote to rated, staked recommendations on the best line."""
-    asked = requests.join(quotes.select("quote_id", *CONTRACT), "quote_id")
+def project_and_recommend(
+    requests: DataFrame, quotes: DataFrame, policy: Policy = Policy(), earlier: DataFrame | None = None
+) -> DataFrame:
+    """From projection requests on a quote to rated, staked recommendations on the best line.
+
+    A request for an unknown quote is refused: rating ``REFUSED``, no price and no stake.
+    ``earlier`` holds recommendations already made (``decided_at``, ``recommended_stake``);
+    their stakes count against the cap of their week.
+    """
+    asked = requests.join(quotes.select("quote_id", *CONTRACT), "quote_id", "left")
     best = best_line(quotes).withColumnRenamed("quote_id", "best_quote_id")
-    priced = asked.join(best.withColumnRenamed("captured_at", "quote_captured_at"), CONTRACT)
-    return stake_allocation(recommend(priced, policy), policy)
+    priced = asked.join(best.withColumnRenamed("captured_at", "quote_captured_at"), CONTRACT, "left")
+    rated = recommend(priced, policy)
+    known = F.col("best_quote_id").isNotNull()
+    rated = rated.withColumns(
+        {
+            "rating": F.when(known, F.col("rating")).otherwise("REFUSED"),
+            "rejection_reasons": F.when(known, F.col("rejection_reasons")).otherwise(F.array(F.lit("Quote not found."))),
+        }
+    )
+    if earlier is not None:
+        week = F.date_trunc("week", F.col("decided_at"))
+        spent = earlier.groupBy(week.alias("_spent_week")).agg(
+            F.sum("recommended_stake").cast("decimal(12,2)").alias("weekly_exposure")
+        )
+        rated = rated.join(spent, week == F.col("_spent_week"), "left").drop("_spent_week")
+        rated = rated.withColumn("weekly_exposure", F.coalesce("weekly_exposure", money("0")))
+    return stake_allocation(rated, policy)
 
 
 # --- exposure and admission -----------------------------------------------------------
@@ -148,6 +170,14 @@ def with_open_exposure(requests: DataFrame, bets: DataFrame) -> DataFrame:
     return rows
 
 
+def with_weekly_exposure(requests: DataFrame, bets: DataFrame) -> DataFrame:
+    """Attach the stakes of all bets placed in the week of each request as ``weekly_open``."""
+    week = F.date_trunc("week", F.col("placed_at"))
+    totals = bets.groupBy(week.alias("_week")).agg(F.sum("stake").alias("weekly_open"))
+    rows = requests.join(totals, week == F.col("_week"), "left").drop("_week")
+    return rows.withColumn("weekly_open", F.coalesce("weekly_open", money("0")))
+
+
 def correlation_flags(requests: DataFrame, bets: DataFrame) -> DataFrame:
     rows = with_open_exposure(requests, bets)
     flags = _flags(F.col("player_open").isNotNull(), F.col("event_open").isNotNull())

@@ -16,21 +16,21 @@ INPUTS = ["projected_team_pass_attempts", "route_participation", "targets_per_ro
 def score_lines(rows: DataFrame, rate: str = "rate", line: str = "line") -> DataFrame:
     """Over, under and push probability and the three quantiles of each rate and line.
 
-    Distinct pairs are scored once, since rates and lines repeat heavily.
+    Every row is scored where it lies; a null rate or line gives null scores.
     """
-    pairs = rows.select(rate, line).dropDuplicates()
     r, at = F.col(rate), F.col(line)
+    known = r.isNotNull() & at.isNotNull()
     whole = at == F.floor(at)
     under_at = F.when(whole, at.cast("long") - 1).otherwise(F.floor(at))
-    scored = pairs.withColumns(
+    scored = rows.withColumns(
         {
-            "over_probability": poisson.over(r, at),
-            "under_probability": poisson.cdf(under_at, r),
-            "push_probability": F.when(whole, poisson.pmf(at.cast("long"), r)).otherwise(0.0),
-            "_q": poisson.quantiles(r, QUANTILES),
+            "over_probability": F.when(known, poisson.over(r, at)),
+            "under_probability": F.when(known, poisson.cdf(under_at, r)),
+            "push_probability": F.when(known, F.when(whole, poisson.pmf(at.cast("long"), r)).otherwise(0.0)),
+            "_q": F.when(r.isNotNull(), poisson.quantiles(r, QUANTILES)),
         }
-    ).select("*", "_q.*").drop("_q")
-    return rows.join(scored, [rate, line])
+    )
+    return scored.select("*", "_q.*").drop("_q")
 
 
 def projection_rules() -> dict[str, Column]:

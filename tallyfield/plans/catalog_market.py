@@ -153,6 +153,35 @@ def persist_offers(spark, sf):
     return rounded(rows, "fair_market_probability")
 
 
+def _persisted(spark, sf, name: str) -> DataFrame:
+    return feeds.persist_offers(_offers(spark, sf), *_players(spark, sf))[name]
+
+
+@query
+def persisted_players(spark, sf):
+    return _persisted(spark, sf, "players")
+
+
+@query
+def persisted_aliases(spark, sf):
+    return _persisted(spark, sf, "aliases")
+
+
+@query
+def persisted_books(spark, sf):
+    return _persisted(spark, sf, "books")
+
+
+@query
+def persisted_events(spark, sf):
+    return _persisted(spark, sf, "events")
+
+
+@query
+def refused_offers(spark, sf):
+    return _persisted(spark, sf, "violations")
+
+
 def _star(spark, sf) -> DataFrame:
     part = tables.table(spark, sf, "part")
     players = part.filter("p_partkey % 10 = 0").select(
@@ -301,9 +330,8 @@ def side_market_maps(spark, sf):
 
 
 def _requests(spark, sf) -> DataFrame:
-    """Projection requests on the first line of each order."""
-    li = tables.table(spark, sf, "lineitem").filter("l_linenumber = 1")
-    quotes = tables.quotes_of(li).select("quote_id", "captured_at")
+    """A projection request on every quote."""
+    quotes = tables.quotes(spark, sf).select("quote_id", "captured_at")
     part = lambda i: F.split_part("quote_id", F.lit("-"), F.lit(i)).cast("long")
     share = lambda c, m: 0.3 + (c % m) / F.lit(100.0)
     shift = lambda c: F.make_dt_interval(mins=c.cast("int"))
@@ -470,9 +498,10 @@ def correlation_flags(spark, sf):
 def exposure_rejections(spark, sf):
     fresh, bets = _bet_requests(spark, sf)
     rows = paper.with_open_exposure(fresh, bets)
+    rows = paper.with_weekly_exposure(rows, bets)
     zero = policy.money("0")
     reasons = policy.exposure_rejections(
-        F.col("stake") * 4, zero, F.coalesce("player_open", zero), F.coalesce("event_open", zero)
+        F.col("stake") * 4, F.col("weekly_open"), F.coalesce("player_open", zero), F.coalesce("event_open", zero)
     )
     return rows.select("request_id", joined(reasons).alias("rejections"))
 
@@ -685,8 +714,13 @@ def evidence_reference_check(spark, sf):
 
 
 def _stream(spark, sf, name) -> DataFrame:
-    schema = tables.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a stream, a bounded number of files to a micro-batch; a table is a file or a folder."""
+    schema, path = tables.table(spark, sf, name).schema, f"{sf}/{name}.parquet"
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 @query

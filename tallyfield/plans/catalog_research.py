@@ -26,7 +26,6 @@ WINDOWS = [
     evaluate.Window("w3", datetime(2024, 1, 24), datetime(2024, 1, 30, 23, 59, 59)),
 ]
 START = datetime(2024, 1, 1)
-BOOTSTRAP_ITERATIONS = 1000
 
 
 def games(spark, sf) -> DataFrame:
@@ -450,14 +449,14 @@ def _pairs(spark, sf):
 @query
 def paired_mae_bootstrap(spark, sf):
     return resample.paired_mae_bootstrap(
-        _pairs(spark, sf), KEY, "league_mean", ["poisson", "rolling_5"], iterations=BOOTSTRAP_ITERATIONS
+        _pairs(spark, sf), KEY, "league_mean", ["poisson", "rolling_5"]
     )
 
 
 @query
 def paired_metric_bootstrap(spark, sf):
     return resample.paired_metric_bootstrap(
-        _pairs(spark, sf), KEY, "league_mean", "poisson", iterations=BOOTSTRAP_ITERATIONS
+        _pairs(spark, sf), KEY, "league_mean", "poisson"
     )
 
 
@@ -510,32 +509,57 @@ def coefficient_stability(spark, sf):
     return ev.coefficient_stability(pm.raw_coefficients(models).withColumn("window_order", order))
 
 
+def _baselines(spark, sf) -> dict[str, DataFrame]:
+    return evaluate.evaluate_baselines(materialize(features(spark, sf)), VALID)
+
+
+def _learned(spark, sf) -> dict[str, DataFrame]:
+    return evaluate.evaluate_learned(materialize(features(spark, sf)), TRAIN, VALID)
+
+
+def _rolling(spark, sf) -> dict[str, DataFrame]:
+    return evaluate.evaluate_rolling(materialize(features(spark, sf)), START, WINDOWS)
+
+
 @query
 def evaluate_baselines(spark, sf):
-    result = evaluate.evaluate_baselines(materialize(features(spark, sf)), VALID, iterations=BOOTSTRAP_ITERATIONS)
-    return rounded(result["metrics"], *METRICS, "coverage")
+    return rounded(_baselines(spark, sf)["metrics"], *METRICS, "coverage")
 
 
 @query
 def evaluate_learned(spark, sf):
-    result = evaluate.evaluate_learned(materialize(features(spark, sf)), TRAIN, VALID, iterations=BOOTSTRAP_ITERATIONS)
-    return result["gates"]
+    return _learned(spark, sf)["gates"]
 
 
 @query
 def evaluate_rolling(spark, sf):
-    result = evaluate.evaluate_rolling(materialize(features(spark, sf)), START, WINDOWS, iterations=BOOTSTRAP_ITERATIONS)
-    return result["window_metrics"]
+    return _rolling(spark, sf)["window_metrics"]
 
 
 @query
 def cohort_alignment(spark, sf):
-    result = evaluate.evaluate_rolling(materialize(features(spark, sf)), START, WINDOWS, iterations=BOOTSTRAP_ITERATIONS)
-    return result["aligned"]
+    return _rolling(spark, sf)["aligned"]
+
+
+#: The other result tables of the three evaluations, each a query of its own.
+EVALUATION_TABLES = {
+    "baseline_comparisons": (_baselines, "comparisons"),
+    "baseline_largest_errors": (_baselines, "largest_errors"),
+    "baseline_decision": (_baselines, "decision"),
+    "learned_comparison": (_learned, "comparison"),
+    "learned_metrics": (_learned, "metrics"),
+    "rolling_pooled_metrics": (_rolling, "pooled_metrics"),
+    "rolling_window_differences": (_rolling, "window_differences"),
+    "rolling_intervals": (_rolling, "intervals"),
+    "rolling_stability": (_rolling, "stability"),
+    "rolling_residuals": (_rolling, "residuals"),
+}
+
+for _name, (_evaluate, _table) in EVALUATION_TABLES.items():
+    query(lambda spark, sf, run=_evaluate, table=_table: run(spark, sf)[table], _name)
 
 
 @query
 def write_scorecard(spark, sf):
-    result = evaluate.evaluate_baselines(materialize(features(spark, sf)), VALID, iterations=BOOTSTRAP_ITERATIONS)
-    path = datasets.write_scorecard(result, f"{shared_dir(spark)}/scorecards")
+    path = datasets.write_scorecard(_baselines(spark, sf), f"{shared_dir(spark)}/scorecards")
     return spark.read.json(f"{path}/metrics")

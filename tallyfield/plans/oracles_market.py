@@ -47,6 +47,15 @@ M["persist_offers"] = f"""WITH {RESOLVED}, f AS (
          CASE WHEN count(*) OVER k = 2 AND min(side) OVER k <> max(side) OVER k THEN round(pr / sum(pr) OVER k, 6) END AS fair_market_probability
   FROM f WINDOW k AS (PARTITION BY batch, event_id, player_id, book_id, market, line)"""
 
+M["persisted_players"] = f"WITH {RESOLVED} SELECT DISTINCT player_id, raw_name AS name FROM players WHERE tier = 'NEW'"
+M["persisted_aliases"] = f"""WITH {RESOLVED} SELECT provider, raw_name AS raw_alias, normalized AS normalized_alias, player_id
+  FROM players WHERE tier IN ('GLOBAL_ALIAS', 'PLAYER_NAME', 'NEW')"""
+M["persisted_books"] = f"WITH {QUOTES} SELECT DISTINCT 'book-' || book_id AS book_id, 'Book ' || book_id AS name FROM quotes"
+M["persisted_events"] = f"""WITH {QUOTES} SELECT 'E' || event_id AS event_id, 'game' AS name, min(captured_at) AS commence_time
+  FROM quotes GROUP BY event_id"""
+M["refused_offers"] = f"""WITH {RESOLVED} SELECT quote_id AS offer_id, provider, raw_name, tier AS violation
+  FROM quotes q JOIN players p ON q.player_id = p.n WHERE p.player_id IS NULL"""
+
 STAR = f"""{QUOTES}, star AS (
   SELECT quote_id, e.p_brand AS event_name, p.p_name AS player_name, s_name AS book_name, market, side, line, american_odds, captured_at
   FROM quotes JOIN part p ON p.p_partkey = player_id * 10 JOIN part e ON e.p_partkey = event_id * 40
@@ -149,7 +158,7 @@ requests AS (
           + (0.3::DOUBLE + (p4 % 71) / 100.0::DOUBLE) * 0.15::DOUBLE + (0.3::DOUBLE + (p1 % 53) / 100.0::DOUBLE) * 0.15::DOUBLE
           + (0.3::DOUBLE + (p3 % 53) / 100.0::DOUBLE) * 0.10::DOUBLE + (0.3::DOUBLE + (p4 % 53) / 100.0::DOUBLE) * 0.15::DOUBLE)
          / (0.25::DOUBLE + 0.20::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE + 0.10::DOUBLE + 0.15::DOUBLE) AS conf
-  FROM parts WHERE p2 = 1)"""
+  FROM parts)"""
 
 
 def decide(source: str) -> str:
@@ -285,10 +294,12 @@ M["correlation_flags"] = f"""WITH {FRESH} SELECT request_id, concat_ws(';',
   CASE WHEN event_id IN (SELECT event_id FROM open_bets) THEN 'CORRELATED_SAME_EVENT' END) AS correlation_flags FROM fresh"""
 M["exposure_rejections"] = f"""WITH {FRESH}, p AS (SELECT player_id, sum(stake) AS po FROM open_bets GROUP BY 1),
   e AS (SELECT event_id, sum(stake) AS eo FROM open_bets GROUP BY 1),
-  x AS (SELECT request_id, CAST(round(stake * 100 / 10) AS DECIMAL(12,2)) / 100 * 4 AS st, coalesce(po, 0) AS po, coalesce(eo, 0) AS eo
-        FROM fresh LEFT JOIN p USING (player_id) LEFT JOIN e USING (event_id))
+  w AS (SELECT date_trunc('week', placed_at) AS wk, sum(stake) AS ws FROM bets WHERE status <> 'ACTIVE' GROUP BY 1),
+  x AS (SELECT request_id, CAST(round(stake * 100 / 10) AS DECIMAL(12,2)) / 100 * 4 AS st, coalesce(po, 0) AS po, coalesce(eo, 0) AS eo,
+               coalesce(ws, 0) AS ws
+        FROM fresh LEFT JOIN p USING (player_id) LEFT JOIN e USING (event_id) LEFT JOIN w ON wk = date_trunc('week', placed_at))
   SELECT request_id, concat_ws(';', CASE WHEN st > 10 THEN 'Exceeds maximum single stake of $10.' END,
-    CASE WHEN st > 50 THEN 'Exceeds maximum weekly exposure of $50.' END,
+    CASE WHEN ws + st > 50 THEN 'Exceeds maximum weekly exposure of $50.' END,
     CASE WHEN po + st > 15 THEN 'Exceeds maximum player exposure of $15.' END,
     CASE WHEN eo + st > 20 THEN 'Exceeds maximum event exposure of $20.' END) AS rejections FROM x"""
 M["exposures"] = f"""WITH {BETS}

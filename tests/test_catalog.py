@@ -5,6 +5,7 @@ from conftest import SF
 import __spark_entry__ as entry
 from check_oracle import TABLES, rows
 from tallyfield.plans.catalog import QUERIES
+from tallyfield.plans.catalog_research import EVALUATION_TABLES
 from tallyfield.session import ROWS_PER_TASK
 
 # Queries whose values have no practical SQL form; each is tested against a brute force elsewhere.
@@ -23,6 +24,7 @@ ROWS_ONLY = {
     "evaluate_rolling",
     "cohort_alignment",
     "write_scorecard",
+    *EVALUATION_TABLES,
 }
 
 

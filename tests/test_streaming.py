@@ -168,3 +168,27 @@ def test_snapshot_unique_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_late_quote_does_not_set_the_series_back(spark, tmp_path):
+    base = tables.quotes(spark, "/root/testdata/sf0.001").limit(1).collect()[0].asDict()
+    schema = tables.quotes(spark, "/root/testdata/sf0.001").schema
+    day = datetime(2031, 1, 5)
+    order = [[1, 3], [2], [4]]
+    lines = {1: 5.5, 2: 3.5, 3: 7.5, 4: 6.5}
+    for n, hours in enumerate(order):
+        rows = [tuple((base | dict(quote_id=f"q{h}", line=lines[h], captured_at=day + timedelta(hours=h)))[c] for c in schema.names) for h in hours]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    ingest.stream_movement(stream, out, str(tmp_path / "ckpt")).awaitTermination()
+    got = {r.quote_id: r.direction for r in spark.read.parquet(f"{out}/directions").collect()}
+    assert got["q3"] == "UP" and got["q4"] == "DOWN"
+
+
+def test_stream_of_a_table_of_several_files(spark, sf, tmp_path):
+    from tallyfield.plans import catalog_market
+
+    spark.read.parquet(f"{sf}/lineitem.parquet").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog_market.stream_movement(spark, str(tmp_path))
+    assert got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
