@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: counts are looked through up to here; a higher quantile is reported as this one.
 QUANTILE_CAP = 1000
+#: Lines above this use the running sum, whose plan does not grow with the line.
 _UNROLL = 64
 
 
@@ -52,12 +54,13 @@ def over(rate: Column, line: Column) -> Column:
     return _clamp(1 - cdf(F.floor(line), rate))
 
 
-def quantiles(rate: Column, probabilities: dict[str, float]) -> Column:
+def quantiles(rate: Column, probabilities: dict[str, float], cap: int = QUANTILE_CAP) -> Column:
     """Struct of the smallest counts whose distribution reaches each probability.
 
-    One pass over the counts up to well above the highest quantile, at most 1,000.
+    One pass over the counts up to well above the highest quantile, at most ``cap``; a
+    quantile equal to ``cap`` says "this or more".
     """
-    last = F.least(F.lit(QUANTILE_CAP), F.ceil(rate + 10 * F.sqrt(rate) + 20)).cast("int")
+    last = F.least(F.lit(cap), F.ceil(rate + 10 * F.sqrt(rate) + 20)).cast("int")
     names = list(probabilities)
 
     def hit(total, p, k, before):
@@ -79,4 +82,4 @@ def quantiles(rate: Column, probabilities: dict[str, float]) -> Column:
         )
 
     found = F.aggregate(steps, start, step)
-    return F.struct(*[F.when(rate == 0, 0).otherwise(F.coalesce(found[n], F.lit(QUANTILE_CAP))).alias(n) for n in names])
+    return F.struct(*[F.when(rate == 0, 0).otherwise(F.coalesce(found[n], F.lit(cap))).alias(n) for n in names])

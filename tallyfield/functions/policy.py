@@ -59,7 +59,10 @@ def data_age_seconds(now: Column, *captured: Column) -> Column:
 
 
 def recommendation(ev: Column, conf: Column, age: Column, policy: Policy = Policy()) -> tuple[Column, Column]:
-    """Rating and the reasons that held it back."""
+    """Rating and the reasons that held it back.
+
+    Fixed values: the texts of the reasons.
+    """
 
     def share(text, value, digits):
         before, after = text.split("@")
@@ -87,7 +90,7 @@ def recommendation(ev: Column, conf: Column, age: Column, policy: Policy = Polic
 
 
 def exposure_rejections(stake: Column, weekly: Column, player: Column, event: Column, policy: Policy = Policy()) -> Column:
-    """Caps a stake would break, in fixed order."""
+    """Caps a stake would break, in fixed order. The texts."""
     checks = (
         (stake, policy.single_cap, "single stake"),
         (weekly + stake, policy.weekly_cap, "weekly exposure"),

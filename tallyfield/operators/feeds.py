@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.names import book_key, normalize_name
 from tallyfield.operators.scan import look_back, ordered
-from tallyfield.session import broadcast_if_small
 
 
 def duplicate_batches(batches: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -54,7 +53,7 @@ def provider_health(attempts: DataFrame, previous: DataFrame | None = None) -> D
     at = F.struct("ended_at", "attempt_id")
     good = F.col("succeeded")
     last = attempts.filter(good).groupBy("provider").agg(F.max(at).alias("_last_good"))
-    rows = attempts.join(broadcast_if_small(last), "provider", "left")
+    rows = attempts.join(last, "provider", "left")
     late = ~good & (F.col("_last_good").isNull() | (at > F.col("_last_good")))
     facts = rows.groupBy("provider").agg(
         F.count_if(good).alias("_good"),

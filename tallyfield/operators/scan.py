@@ -26,7 +26,6 @@ from tallyfield.session import materialize, rows_per_task, with_one_row
 
 CHUNK = "_chunk"
 _BORROWED = "_borrowed"
-_MAX_CHUNKS = 20_000
 
 
 def _sort_column(name: str, reverse: bool = False) -> Column:
@@ -80,7 +79,7 @@ def ordered(
     largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
     if (largest or 0) <= limit:
         return Ordered(df, keys, order, False)
-    pieces = min(_MAX_CHUNKS, max(2, ceil(total / limit)))
+    pieces = max(2, ceil(total / limit))
     ranged = df.repartitionByRange(pieces, *[F.col(k) for k in keys], *[_sort_column(c) for c in order])
     return Ordered(materialize(ranged.withColumn(CHUNK, F.spark_partition_id())), keys, order, True)
 

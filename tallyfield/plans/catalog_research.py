@@ -179,13 +179,27 @@ def validate_feature_table(spark, sf):
 
 @query
 def check_input_identity(spark, sf):
-    from tallyfield.functions.digests import table_digest
-
+    """The recorded table passes the check against its manifest; one altered row or registry does not."""
     rows = materialize(features(spark, sf))
-    again = rows.repartition(5).select(*TABLE_COLUMNS)
-    a, b = (table_digest(d).withColumn("side", F.lit(s)) for d, s in ((rows, "recorded"), (again, "found")))
-    both = a.unionByName(b).groupBy().agg(F.count_distinct("digest").alias("digests"), F.max("rows").alias("rows"))
-    return both.select((F.col("digests") == 1).alias("identical"), "rows")
+    path = datasets.write_feature_dataset(rows, f"{shared_dir(spark)}/identity", {})
+    manifest = datasets.read_manifest(spark, path).first()
+    first = rows.select("source_player_id", "game_id").orderBy("source_player_id", "game_id").first()
+    touched = (F.col("source_player_id") == first[0]) & (F.col("game_id") == first[1])
+    altered = rows.withColumn("actual_receptions", F.col("actual_receptions") + F.when(touched, 1).otherwise(0))
+    cases = (
+        ("recorded", rows, manifest.registry_digest),
+        ("altered row", altered, manifest.registry_digest),
+        ("other registry", rows, "none"),
+    )
+    found = []
+    for name, table, registry in cases:
+        try:
+            datasets.check_input_identity(table, manifest.digest, registry)
+            found.append((name, True))
+        except quality.ContractError:
+            found.append((name, False))
+    outcome = spark.createDataFrame(found, "case string, identical boolean")
+    return with_one_row(outcome, rows.agg(F.count("*").alias("rows")))
 
 
 @query

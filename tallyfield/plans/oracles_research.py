@@ -360,7 +360,9 @@ R["write_feature_dataset"] = R["feature_table"]
 R["load_and_validate_features"] = R["feature_table"]
 R["write_training_dataset"] = R["attach_schedule"]
 R["leakage_probe"] = f"WITH {TRAINING} SELECT source_player_id, game_id FROM training WHERE false"
-R["check_input_identity"] = f"WITH {TRAINING} SELECT true AS identical, count(*) AS rows FROM training"
+R["check_input_identity"] = f"""WITH {TRAINING} SELECT name AS "case", identical, rows
+  FROM (VALUES ('recorded', true), ('altered row', false), ('other registry', false)) v(name, identical)
+  CROSS JOIN (SELECT count(*) AS rows FROM training)"""
 R["validate_feature_table"] = """SELECT 'kickoff_missing' AS rule, 0 AS violations, 0 AS schema_differences
   UNION ALL SELECT 'key', 0, 0"""
 R["check_contract"] = f"""WITH {GAMES} SELECT contract, missing, rows FROM (

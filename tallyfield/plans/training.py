@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.names import normalize_name
 from tallyfield.operators import quality
+from tallyfield.sources.contracts import CONTRACTS
 
 # Column order of the training table.
 TRAINING_COLUMNS = (
@@ -23,9 +24,6 @@ TRAINING_COLUMNS = (
     "is_home",
     "actual_receptions",
 )
-STATS_REQUIRED = ("season", "week", "player_id", "player_display_name", "position", "receptions")
-STATS_TEAM = (("team",), ("recent_team",))
-SCHEDULE_REQUIRED = ("season", "week", "game_id", "gameday", "home_team", "away_team")
 
 
 def with_team(stats: DataFrame) -> DataFrame:
@@ -77,8 +75,9 @@ def unmatched(rows: DataFrame, schedule: DataFrame) -> DataFrame:
 
 def build_training_table(player_stats: DataFrame, schedules: DataFrame, strict: bool = True) -> DataFrame:
     """Receiver rows joined to their game. ``strict`` raises on any contract violation."""
-    missing = quality.missing_columns(player_stats, STATS_REQUIRED, STATS_TEAM)
-    missing += quality.missing_columns(schedules, SCHEDULE_REQUIRED)
+    stats, calendar = CONTRACTS["player_stats"], CONTRACTS["schedules"]
+    missing = quality.missing_columns(player_stats, stats.required, stats.any_of)
+    missing += quality.missing_columns(schedules, calendar.required, calendar.any_of)
     if missing:
         raise quality.ContractError(f"missing columns: {missing}")
     receivers = regular_receivers(with_team(player_stats))

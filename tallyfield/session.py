@@ -1,4 +1,4 @@
-"""Session settings, materialisation and size-checked broadcasts."""
+"""Session settings, shared folder and materialisation."""
 
 from __future__ import annotations
 
@@ -43,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     app = spark.sparkContext.applicationId
     if app not in _local_scratch:
@@ -78,10 +79,3 @@ def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Put the columns of a one-row frame beside every row of ``df``."""
     constant = F.lit(1)
     return df.withColumn("_one", constant).join(F.broadcast(row.withColumn("_one", constant)), "_one").drop("_one")
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after checking the row count; otherwise leave the join to AQE."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
