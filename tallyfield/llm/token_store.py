@@ -12,13 +12,15 @@ done. ``parts`` (one row per part) holds the ids before each part.
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ DICTIONARY_BYTES = 65_536
 #: Compressed bytes after which a block is closed.
 BLOCK_BYTES = 4_000_000
 LEVEL = 3
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 500_000
 
 BLOCK_SCHEMA = (
     "part int, block int, doc_ids array<bigint>, n_tokens array<bigint>, starts array<bigint>,"
@@ -48,31 +50,82 @@ _ARROW_BLOCK = pa.schema(
         ("payload", pa.binary()), ("dictionary_sha256", pa.string()),
     ]
 )
-#: Characters at which the tokenizer always cuts, so that the chunks between them are independent.
-_BLANK = re.compile(r"[ \t\n\r\f\v]+")
+#: Signs that end a chunk; after a letter the tokenizer always cuts before them.
+_SIGNS = ".,;:!?"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(definition: str) -> Tokenizer:
-    return Tokenizer.from_str(definition)
+def _one_word(chunk: str) -> bool:
+    """Letters alone, which stay so when normalized and lower-cased: the tokenizer sees one word."""
+    return chunk.isalpha() and (chunk.isascii() or is_normalized("NFC", chunk) and chunk.lower().isalpha())
 
 
 class ChunkEncoder:
-    """Texts to little-endian 32-bit ids; chunks between blanks are encoded once and remembered."""
+    """Texts to little-endian 32-bit ids; chunks between blanks are encoded once and remembered.
+
+    The vocabulary marks the last token of a word, so many chunks whose number of words is
+    known (letters: one, letters and sentence signs: two) go to the library as one text.
+    """
 
     def __init__(self, definition: str):
-        self.library, self.known = _tokenizer(definition), {}
+        self.library = Tokenizer.from_str(definition)
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, missing: list[str]) -> None:
+        """Remember the ids of new chunks."""
+        words, signed, rest = [], [], []
+        for chunk in missing:
+            if _one_word(chunk):
+                words.append(chunk)
+            elif chunk[-1:] in _SIGNS and _one_word(chunk.rstrip(_SIGNS)):
+                signed.append(chunk)
+            else:
+                rest.append(chunk)
+        for chunks, each in ((words, 1), (signed, 2)):
+            groups = [chunks[at : at + 200] for at in range(0, len(chunks), 200)]
+            coded = self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+            for group, result in zip(groups, coded, strict=True):
+                ids = np.array(result.ids, dtype="<u4")
+                ends = (4 * (np.flatnonzero(self.closes[ids])[each - 1 :: each] + 1)).tolist()
+                raw = ids.tobytes()
+                self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        coded = self.library.encode_batch_fast(rest, add_special_tokens=False)
+        self.known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(rest, coded, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text with the end id; null counts as empty."""
-        cut = [_BLANK.sub(" ", t).split(" ") if t else [] for t in texts]
+        """Ids of each text with the end id; null counts as empty.
+
+        Arrow cuts the texts at blanks and numbers the different chunks; only these are
+        looked up one by one, and numpy lays their ids out text by text.
+        """
+        cut = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        bounds = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
         if len(self.known) > CACHED_CHUNKS:  # the chunks met first are the frequent ones
             self.known = dict(islice(self.known.items(), CACHED_CHUNKS // 2))
-        missing = list(set().union(*cut) - self.known.keys())
-        coded = self.library.encode_batch_fast(missing, add_special_tokens=False)
-        self.known.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(missing, coded, strict=True))
-        end, known = np.uint32(END_ID).tobytes(), self.known
-        return [b"".join(map(known.__getitem__, words)) + end for words in cut]
+        known = self.known
+        self._learn([w for w in chunks if w not in known])
+        own = [known[w] for w in chunks]
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(own), dtype="<u4")
+        place = coded.indices.to_numpy()
+        each = sizes[place]
+        ends = np.cumsum(each)
+        ids = pool[np.arange(int(each.sum())) + np.repeat(starts[place] - (ends - each), each)].tobytes()
+        ends = (4 * np.concatenate([[0], ends])[bounds]).tolist()
+        end = np.uint32(END_ID).tobytes()
+        return [ids[a:b] + end for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker, which has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return ChunkEncoder(definition)
 
 
 def train_dictionary(docs: DataFrame, definition: str) -> bytes:
@@ -129,7 +182,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         definition, raw = shared.value
-        encoder = ChunkEncoder(definition)
+        encoder = _encoder(definition)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw)).compress
         part = block = start = held = 0
         ids, counts, starts, offsets, frames = [], [], [], [0], []

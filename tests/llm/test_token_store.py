@@ -20,9 +20,11 @@ def ids_of(lib, text):
 
 def test_chunks_give_the_same_ids_as_whole_texts(lib, monkeypatch):
     pick = random.Random(3)
-    alphabet = "ab é  \u0085\x1c\x0b\x0c  \n\r\t<|endoftext|>s 'st é世ΣßİI's \x00#12"
+    alphabet = "ab é  \u0085  　\x1c\x1f\x0b\x0c  \n\r\t<|endoftext|>s 'st é世ΣßİI's \x00#12"
     texts = ["".join(pick.choice(alphabet) for _ in range(pick.randint(0, 60))) for _ in range(2000)]
-    texts += ["", None, " ", "<|endoftext|> a<|startoftext|>b", " ́a", "ᄀ ᅡ", "ΑΣ ΑΣΑ", "a" * 2000]
+    signs = "aB.,;:!?é'<|>=\u0338\u0301 sT1"
+    texts += ["".join(pick.choice(signs) for _ in range(pick.randint(0, 40))) for _ in range(3000)]
+    texts += ["<|ENDOFTEXT|>. <|endoftext|>, it's. IT'S! a=. \u0338", "", None, " ", "<|endoftext|> a<|startoftext|>b", " ́a", "ᄀ ᅡ", "ΑΣ ΑΣΑ", "a" * 2000]
     monkeypatch.setattr(token_store, "CACHED_CHUNKS", 50)
     encoder = token_store.ChunkEncoder(lib.to_str())
     coded = [c for at in range(0, len(texts), 100) for c in encoder.encode(texts[at : at + 100])]
