@@ -37,7 +37,7 @@ DICTIONARY_BYTES = 65_536
 #: Compressed bytes after which a block is closed.
 BLOCK_BYTES = 4_000_000
 LEVEL = 3
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 700_000
 
 BLOCK_SCHEMA = (
     "part int, block int, doc_ids array<bigint>, n_tokens array<bigint>, starts array<bigint>,"
@@ -103,7 +103,7 @@ class ChunkEncoder:
         cut = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
         bounds = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHED_CHUNKS:  # the chunks met first are the frequent ones
             self.known = dict(islice(self.known.items(), CACHED_CHUNKS // 2))
         known = self.known
@@ -148,18 +148,19 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def _texts(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[list[int | None], list[str | None]]]:
-    """Ids and texts of a batch in pieces of bounded size."""
-    ids, texts, held = [], [], 0
-    for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-        ids.append(doc_id.as_py())
-        texts.append(text.as_py())
-        held += len(texts[-1] or "")
-        if held > limit:
-            yield ids, texts
-            ids, texts, held = [], [], 0
+def _texts(batches: Iterator[pa.RecordBatch], limit: int = 8_000_000) -> Iterator[tuple[int, list[int | None], list[str | None]]]:
+    """Range partition, ids and texts of all batches of a task, in pieces of bounded size."""
+    part, ids, texts, held = 0, [], [], 0
+    for batch in batches:
+        for doc_id, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids.append(doc_id)
+            texts.append(text)
+            held += len(text or "")
+            if held > limit:
+                yield part, ids, texts
+                ids, texts, held = [], [], 0
     if ids:
-        yield ids, texts
+        yield part, ids, texts
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
@@ -191,22 +192,19 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None)
             row = [[part], [block], [ids], [counts], [starts], [offsets], [b"".join(frames)], [sha]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW_BLOCK, strict=True)], schema=_ARROW_BLOCK)
 
-        for batch in batches:
-            if batch.num_rows:
-                part = batch.column(2)[0].as_py()
-            for doc_ids, texts in _texts(batch):
-                for doc_id, coded in zip(doc_ids, encoder.encode(texts), strict=True):
-                    frames.append(compress(coded))
-                    held += len(frames[-1])
-                    ids.append(doc_id)
-                    counts.append(len(coded) // 4)
-                    starts.append(start)
-                    offsets.append(held)
-                    start += counts[-1]
-                    if held >= BLOCK_BYTES:
-                        yield close()
-                        block, held = block + 1, 0
-                        ids, counts, starts, offsets, frames = [], [], [], [0], []
+        for part, doc_ids, texts in _texts(batches):  # noqa: B007  (read by close)
+            for doc_id, coded in zip(doc_ids, encoder.encode(texts), strict=True):
+                frames.append(compress(coded))
+                held += len(frames[-1])
+                ids.append(doc_id)
+                counts.append(len(coded) // 4)
+                starts.append(start)
+                offsets.append(held)
+                start += counts[-1]
+                if held >= BLOCK_BYTES:
+                    yield close()
+                    block, held = block + 1, 0
+                    ids, counts, starts, offsets, frames = [], [], [], [0], []
         if ids:
             yield close()
 
