@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import WORD_SQL
+from tallyfield.llm.common import WORD_SQL, store
 from tallyfield.llm.prefix import prefix_sums, range_parts
 
 #: Weights of the sources in code point order (null last), repeated.
@@ -73,37 +73,27 @@ def _finish(copy: int):
     return F.try_divide(F.col("_source_size") * copy + F.col("_before") + F.col("_size"), F.col("_target"))
 
 
-def mix(
-    docs: DataFrame,
-    weights: Sequence[int] = WEIGHTS,
-    budget: float = BUDGET,
-    seed: str = SEED,
-    buckets: int = BUCKETS,
-) -> DataFrame:
-    """All columns of ``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``.
-
-    ``docs`` needs ``doc_id``, ``text`` and ``source``. The size of a document is its number
-    of words (null and empty texts: 0, never taken). ``_copies`` is how often the mix takes
-    it, at most twice. The order of a source's queue is the MD5 of seed and doc_id, so
-    reruns agree; repeated rows queue behind each other, null ids and a null source count
-    as values of their own, and an empty table gives no rows.
-    """
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    """Adds ``_size``, ``_source`` and ``_place``, the position in the hashed order."""
     place = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
-    named = docs.withColumns(
+    return docs.withColumns(
         {
             "_size": F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long"),
             "_source": F.col("source"),
             "_place": place,
         }
     )
-    narrow = named.select("_source", "_size", "_place")
-    targets = source_targets(narrow, weights, budget)
-    queue = _queued(narrow.filter("_size > 0"), targets, buckets)
+
+
+def _decide(sized: DataFrame, weights: Sequence[int], budget: float, buckets: int) -> tuple[DataFrame, Column]:
+    """Targets of the sources, and how often a queued row is taken; ``sized`` is stored."""
+    targets = source_targets(sized, weights, budget)
+    queue = _queued(sized.filter("_size > 0"), targets, buckets)
     times = F.array(*[F.struct(_finish(c).alias("finish"), F.lit(c).alias("copy")) for c in range(MOST_COPIES)])
     entries = queue.select("_place", "_size", F.explode(times).alias("_entry")).select("_entry.*", "_place", "_size")
     order = [F.col("finish"), F.col("_place"), F.col("copy")]
     parts = range_parts(entries, order)
-    total = (narrow.agg(F.sum("_size")).first()[0] or 0) * budget
+    total = (sized.agg(F.sum("_size")).first()[0] or 0) * budget
     cut = prefix_sums(parts, order, "_size").filter(F.col("_end") <= total).agg(F.max(F.struct(*order))).first()[0]
     parts.drop()
     finish, at, copy = cut if cut is not None else (-1.0, "", 0)
@@ -112,18 +102,41 @@ def mix(
         F.struct(_finish(c).alias("finish"), F.col("_place"), F.lit(c).alias("copy")) <= last
         for c in range(MOST_COPIES)
     ]
-    copies = sum(F.when((F.col("_size") > 0) & t, 1).otherwise(0) for t in taken)
-    return _queued(named, targets, buckets).withColumn("_copies", copies).drop("_before", "_place", "_source")
+    return targets, sum(F.when((F.col("_size") > 0) & t, 1).otherwise(0) for t in taken)
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    budget: float = BUDGET,
+    seed: str = SEED,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """All columns of ``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``.
+
+    ``docs`` needs ``doc_id``, ``text`` and ``source``. The size of a document is its number
+    of words (null and empty texts: 0, never taken). ``_copies`` is how often the mix takes
+    it, at most twice. The order of a source's queue is the MD5 of seed and doc_id, so
+    reruns agree; repeated rows queue behind each other, null ids and a null source count
+    as values of their own, and an empty table gives no rows.
+    """
+    sized = _sized(docs, seed)
+    # The decision reads three narrow columns several times; the texts are read twice.
+    narrow = store(sized.select("_source", "_size", "_place"), "sizes")
+    targets, copies = _decide(narrow.df, weights, budget, buckets)
+    return _queued(sized, targets, buckets).withColumn("_copies", copies).drop("_before", "_place", "_source")
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
-    """Size, target and taken words of every document."""
-    return mix(docs.select("doc_id", "text", "source")).select(
+    """Size, target and taken words of every document; the texts are read once."""
+    narrow = store(_sized(docs.select("doc_id", "text", "source"), SEED).drop("text", "source"), "sizes")
+    targets, copies = _decide(narrow.df, WEIGHTS, BUDGET, BUCKETS)
+    return _queued(narrow.df, targets, BUCKETS).select(
         "doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).cast("long").alias("taken"),
+        (F.col("_size") * copies).cast("long").alias("taken"),
     )
 
 
