@@ -130,11 +130,18 @@ def _encoder(definition: str) -> ChunkEncoder:
 
 def train_dictionary(docs: DataFrame, definition: str) -> bytes:
     """A zstandard dictionary from a bounded sample of documents; empty where the sample is too small."""
+    # Ids alone are ranked, of about twice as many rows as wanted, so little goes to the driver.
+    share = 2 * DICTIONARY_DOCS / max(1, docs.count())
+    place = F.xxhash64("doc_id")
+    few = docs.filter(F.pmod(place, F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).select("doc_id", place.alias("place"))
+    picked = few.distinct().orderBy("place", "doc_id").limit(DICTIONARY_DOCS)
+    # DICTIONARY_DOCS rows at most.
     sample = (
-        docs.filter(F.length("text") <= DICTIONARY_TEXT)
-        .select("text", F.xxhash64("doc_id", "text").alias("place"))
-        .orderBy("place")
-        .limit(DICTIONARY_DOCS)
+        docs.join(F.broadcast(picked), "doc_id")
+        .filter(F.length("text") <= DICTIONARY_TEXT)
+        .orderBy("place", "doc_id", "text")
+        .select("text")
+        .limit(2 * DICTIONARY_DOCS)
         .collect()
     )
     coded = ChunkEncoder(definition).encode([r.text for r in sample])
