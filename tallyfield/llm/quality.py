@@ -3,7 +3,8 @@
 A document is the set of 1- to 3-grams of its word shapes (letter case, digits, signs, and
 whether a word repeats the one before). Each n-gram indicator is scaled by the log ratio of
 its rates in the two classes, and a linear model with hinge loss is fitted by dual
-coordinate descent. A logistic curve, fitted on documents that the model has not seen,
+coordinate descent. Words of more than ``PIECE`` characters (texts without white space, encoded
+data) are cut into consecutive pieces, each a word of its own. A logistic curve, fitted on documents that the model has not seen,
 turns margins into probabilities.
 """
 
@@ -31,6 +32,8 @@ COST = 1.0
 EPOCHS = 20
 SEED = 11
 CACHED_WORDS = 100_000
+#: Longest run of characters that makes one shape; longer words are cut into such runs.
+PIECE = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _REPEAT = np.uint64(zlib.crc32(b"repeat") << 8)
 
@@ -38,7 +41,7 @@ _REPEAT = np.uint64(zlib.crc32(b"repeat") << 8)
 def shape(word: str) -> int:
     """Number of a word's shape: runs of upper, lower, digit and other letters, and its signs."""
     out, last = [], ""
-    for c in word[:64]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else "l" if c.isalpha() else c
         if kind != last:
             out.append(kind)
@@ -46,6 +49,20 @@ def shape(word: str) -> int:
     return zlib.crc32("".join(out).encode("utf-8", "surrogatepass")) << 8 | min(len(word), 40) // 8
 
 
+def pieces(words: list[str]) -> tuple[list[str], list[bool]]:
+    """Words, those above ``PIECE`` characters in pieces, and whether each repeats what is before it."""
+    again = [False, *(a == b for a, b in zip(words[1:], words, strict=False))]
+    if max(map(len, words)) <= PIECE:
+        return words, again
+    out: list[str] = []
+    flags: list[bool] = []
+    for word, same in zip(words, again, strict=True):
+        cut = [word[at : at + PIECE] for at in range(0, len(word), PIECE)]
+        out += cut
+        flags += [same, *(same or a == b for a, b in zip(cut[1:], cut, strict=False))]
+    return out, flags
+
+
 class Features:
     """N-gram buckets of texts, with the shapes of words met before in a bounded memory."""
 
@@ -57,6 +74,7 @@ class Features:
         words = text.split() if text else []
         if not words:
             return np.zeros(1, dtype=np.int64)
+        words, again = pieces(words)
         if len(self.known) > CACHED_WORDS:
             self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
         known = self.known
@@ -64,8 +82,7 @@ class Features:
             if w not in known:
                 known[w] = shape(w)
         shapes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        again = np.array([a == b for a, b in zip(words[1:], words, strict=False)], dtype=bool)
-        shapes[1:][again] = _REPEAT
+        shapes[np.array(again)] = _REPEAT
         grams, rolled = [], np.zeros(len(shapes), dtype=np.uint64)
         for n in range(1, 4):
             rolled = (rolled[: len(shapes) - n + 1] ^ shapes[n - 1 :]) * _MIX

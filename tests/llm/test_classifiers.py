@@ -101,3 +101,17 @@ def test_odd_rows(spark, module, keep):
             (r.predicted == 0) if module is toxicity else (r.predicted == 1) for r in got
         )
     assert module.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_quality_reads_texts_without_white_space_to_their_end():
+    features = quality.Features()
+    for n in (64, 100, 6400, 64_000):
+        head = "這是一個沒有空格的句子。" * (n // 12 + 1)
+        plain, other = features.of(head[:n] + "好" * 64), features.of(head[:n] + "A7$b" * 16)
+        assert not np.array_equal(plain, other)
+    short = ["word", "x" * 64]
+    assert quality.pieces(short) == (short, [False, False])
+    link = "https://example.org/" + "ab1/" * 40
+    cut, again = quality.pieces(["see", link, link])
+    assert "".join(cut) == "see" + link + link and max(map(len, cut)) == quality.PIECE
+    assert again[: len(cut) // 2 + 1] == [False] * (len(cut) // 2 + 1) and all(again[len(cut) // 2 + 1 :])
