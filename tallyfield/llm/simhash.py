@@ -176,7 +176,11 @@ def link_fingerprints(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def component_of_fingerprints(prints: Stored | DataFrame) -> Stored:
-    """``fingerprint``, ``component_id`` (smallest doc_id reachable) of stored ``doc_id, fingerprint``."""
+    """``fingerprint``, ``component_id``, ``root`` of stored ``doc_id, fingerprint``.
+
+    ``component_id`` is the smallest doc_id reachable, which several components share if they
+    share an id; ``root`` is a fingerprint that a component has for itself.
+    """
     rows = prints.df if isinstance(prints, Stored) else prints
     smallest = store(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
     groups = components(link_fingerprints(smallest.df.select("fingerprint")))
@@ -184,7 +188,7 @@ def component_of_fingerprints(prints: Stored | DataFrame) -> Stored:
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")
     )
     of_root = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = store(with_root.join(of_root, "root").select("fingerprint", "component_id"), "print-groups")
+    found = store(with_root.join(of_root, "root").select("fingerprint", "component_id", "root"), "print-groups")
     groups.drop()
     smallest.drop()
     return found
@@ -211,13 +215,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, one (the smallest doc_id) for each near-duplicate group.
 
-    A document without an id is known by the hash of its text. Repeated rows of one id
-    count as copies, of which one stays.
+    Rows are told apart by a number of their own, not by doc_id: rows of one id whose texts
+    are not near-duplicates all stay. A row without an id stays only where its group has no
+    id; among rows of one id the smallest hash of the text decides, then the row's number.
     """
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    keyed = docs.select(key.alias("doc_id"), "text")
-    prints = store(keyed.select("doc_id", fingerprint_column(F.col("text")).alias("fingerprint")), "doc-prints")
+    numbered = docs.select(
+        F.struct("*").alias("_row"),
+        F.monotonically_increasing_id().alias("_number"),
+        fingerprint_column(F.col("text")).alias("fingerprint"),
+    )
+    # Written once, so that every reader sees the same numbers.
+    rows = store(numbered, "numbered").df
+    prints = rows.select(F.col("_row.doc_id").alias("doc_id"), "fingerprint")
     groups = component_of_fingerprints(prints)
-    kept = groups.df.select(F.col("component_id").alias("_kept")).distinct()
-    rows = docs.select(key.alias("_key"), F.struct("*").alias("_row"))
-    return rows.join(kept, F.col("_key") == F.col("_kept")).dropDuplicates(["_kept"]).select("_row.*")
+    rank = F.struct(
+        F.col("_row.doc_id").isNull().alias("no_id"),
+        F.col("_row.doc_id").alias("id"),
+        F.xxhash64("_row.text").alias("hash"),
+        F.col("_number").alias("number"),
+    )
+    # One row for each fingerprint first, so that many copies do not meet in the join.
+    firsts = rows.groupBy("fingerprint").agg(F.min(rank).alias("first"))
+    kept = firsts.join(groups.df, "fingerprint").groupBy("root").agg(F.min("first").alias("first"))
+    numbers = kept.select(F.col("first.number").alias("_number"))
+    return rows.join(numbers, "_number", "left_semi").select("_row.*")

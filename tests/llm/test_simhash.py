@@ -1,3 +1,4 @@
+from collections import Counter
 from itertools import combinations
 
 import xxhash
@@ -92,3 +93,20 @@ def test_components_chain_and_star(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).df.collect()}
     assert found == {**{i: 100 for i in range(100, 161)}, 5: 5, **{i: 5 for i in range(1000, 1200)}}
     assert components(spark.createDataFrame([], "a long, b long")).df.count() == 0
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    texts = ["red green blue black white %d %s" % (i, "abcdefgh"[i] * (i + 1)) for i in range(8)]
+    rows = [(3, t) for t in texts] + [(3, texts[0]), (1, texts[1]), (None, texts[2])]
+    # A null text without an id is not document 42, which is what its hash comes to.
+    rows += [(42, "forty two is a document of its own"), (None, None), (None, "no id at all in this one")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int")
+    prints = {n: plain_print(t) for n, (_, t) in enumerate(rows)}
+    groups = plain_groups(prints)
+    want = Counter()
+    for root in set(groups.values()):
+        own = [rows[n] for n in groups if groups[n] == root]
+        want[min(own, key=lambda r: (r[0] is None, r[0] or 0))] += 1
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert Counter(kept) == want and len(kept) == 11
+    assert {(3, texts[0]), (1, texts[1]), (3, texts[2]), (42, rows[11][1]), (None, None)} <= set(kept)
