@@ -6,7 +6,9 @@ and a softmax over two classes reads it; a text is as toxic as its most toxic pa
 length does not thin out what is said. Training moves vectors and softmax together. Since
 the softmax is linear, a trained n-gram contributes one number to the margin, so scoring
 adds up one remembered number per word; a misspelt word keeps most n-grams of the word it
-stands for.
+stands for. Texts are scored by every run of ``PASSAGE`` words, so it does not matter where
+in a text something is said; training takes runs that do not overlap, save the last, and the
+most toxic run of each clean text.
 """
 
 from __future__ import annotations
@@ -96,8 +98,27 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(words: list[str]) -> list[set[str]]:
-    """The different words of each run of ``PASSAGE`` words, the last run being shorter."""
-    return [set(words[at : at + PASSAGE]) for at in range(0, len(words), PASSAGE)]
+    """The different words of consecutive runs of ``PASSAGE`` words, the last one ending with the text."""
+    last = max(0, len(words) - PASSAGE)
+    return [set(words[min(at, last) :][:PASSAGE]) for at in range(0, len(words), PASSAGE)]
+
+
+def run_means(numbers: np.ndarray, margins: np.ndarray) -> np.ndarray:
+    """Mean margin of every run of ``PASSAGE`` words, by its first word (a shorter text is one run).
+
+    ``numbers`` are equal for equal words, ``margins`` belong to the words. A word counts once
+    in a run: at its first place, so it enters the runs that begin after its place before.
+    """
+    size = len(numbers)
+    order = np.argsort(numbers, kind="stable")
+    same = numbers[order[1:]] == numbers[order[:-1]]
+    here = np.arange(size)
+    starts = np.maximum(here - PASSAGE + 1, 0)
+    starts[order[1:][same]] = np.maximum(starts[order[1:][same]], order[:-1][same] + 1)
+    sums = np.bincount(starts, margins, size + 1) - np.bincount(here + 1, margins, size + 1)
+    counts = np.bincount(starts, minlength=size + 1) - np.bincount(here + 1, minlength=size + 1)
+    runs = max(1, size - PASSAGE + 1)
+    return np.cumsum(sums)[:runs] / (np.cumsum(counts)[:runs] + BLANKS)
 
 
 @dataclass
@@ -187,7 +208,8 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.known = model, {}
 
-    def score(self, texts: list[str | None]) -> list[float]:
+    def means(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Mean margin of every run of words of each text; one of zero for a wordless text."""
         cut = [tokens(t) for t in texts]
         if len(self.known) > CACHED_WORDS:  # the words met first are the frequent ones
             self.known = dict(islice(self.known.items(), CACHED_WORDS // 2))
@@ -195,10 +217,17 @@ class Scorer:
         missing = list(set().union(*cut) - known.keys())
         if missing:
             known.update(zip(missing, self.model.word_margins(missing).tolist(), strict=True))
-        margin, out = known.__getitem__, []
         for words in cut:
-            means = [sum(map(margin, sorted(p))) / (len(p) + BLANKS) for p in passages(words)]
-            out.append(max(means, default=0.0) + self.model.bias)
+            if not words:
+                yield np.zeros(1)
+                continue
+            place = {w: n for n, w in enumerate(dict.fromkeys(words))}
+            numbers = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
+            margins = np.fromiter(map(known.__getitem__, place), dtype=np.float64, count=len(place))
+            yield run_means(numbers, margins[numbers])
+
+    def score(self, texts: list[str | None]) -> list[float]:
+        out = [m.max() + self.model.bias for m in self.means(texts)]
         return (1 / (1 + np.exp(-np.clip(out, -500, 500)))).tolist()
 
 
@@ -255,32 +284,44 @@ class _Trainer:
                 length = np.sqrt((self.vectors**2).sum(axis=0))
                 self.vectors *= np.maximum(0, 1 - SHRINK / np.maximum(length, SHRINK))
 
+    def model(self) -> ToxicityModel:
+        difference = self.softmax[:, 1] - self.softmax[:, 0]
+        margins = np.zeros(BUCKETS, dtype=np.float32)
+        margins[self.bags.buckets] = difference @ self.vectors * SCALE
+        return ToxicityModel(margins, float(self.bias[1] - self.bias[0]))
+
 
 def fit(texts: list[str | None], labels: list[int]) -> ToxicityModel:
     """Train on passages of labelled texts; with one class only, the bias alone answers.
 
     A toxic text need not be toxic throughout. After a first round on all passages, the
     passages of toxic texts that look clean are left out, the most toxic one of each text
-    excepted, and a second round trains on the rest.
+    excepted; the most toxic run of each longer clean text, which its score goes by, is
+    added; and a second round trains on these.
     """
     cut = [(passage, i) for i, t in enumerate(texts) for passage in passages(tokens(t))]
     if len(set(labels)) < 2 or not cut:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 5.0 if 1 in labels else -5.0)
     doc = np.array([i for _, i in cut])
     y = np.array(labels, dtype=np.int64)[doc]
-    bags = _bags([c for c, _ in cut])
-    trainer, rows = _Trainer(bags), np.arange(len(cut))
+    trainer, rows = _Trainer(_bags([c for c, _ in cut])), np.arange(len(cut))
     trainer.train(rows, y, FIRST_STEPS)
     p = trainer.probabilities(rows)
     best = np.zeros(len(texts))
     np.maximum.at(best, doc, p)
     stay = (y == 0) | (p >= 0.5) | (p == best[doc])
-    trainer = _Trainer(bags)
-    trainer.train(rows[stay], y[stay], SECOND_STEPS)
-    difference = trainer.softmax[:, 1] - trainer.softmax[:, 0]
-    margins = np.zeros(BUCKETS, dtype=np.float32)
-    margins[bags.buckets] = difference @ trainer.vectors * SCALE
-    return ToxicityModel(margins, float(trainer.bias[1] - trainer.bias[0]))
+    scorer = Scorer(trainer.model())
+    del trainer
+    cut = [c for c, kept in zip(cut, stay, strict=True) if kept]
+    for i, text in enumerate(texts):
+        words = tokens(text) if labels[i] == 0 else []
+        if len(words) > PASSAGE:
+            at = int(next(scorer.means([text])).argmax())
+            cut.append((set(words[at : at + PASSAGE]), i))
+    del scorer
+    trainer = _Trainer(_bags([c for c, _ in cut]))
+    trainer.train(np.arange(len(cut)), np.array([labels[i] for _, i in cut], dtype=np.int64), SECOND_STEPS)
+    return trainer.model()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:

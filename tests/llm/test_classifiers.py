@@ -115,3 +115,26 @@ def test_quality_reads_texts_without_white_space_to_their_end():
     cut, again = quality.pieces(["see", link, link])
     assert "".join(cut) == "see" + link + link and max(map(len, cut)) == quality.PIECE
     assert again[: len(cut) // 2 + 1] == [False] * (len(cut) // 2 + 1) and all(again[len(cut) // 2 + 1 :])
+
+
+def test_verdict_on_a_phrase_does_not_depend_on_its_place():
+    model = toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS, dtype=np.float32), -1.0)
+    phrase = ["bad%d" % i for i in range(20)]
+    model.margins[np.unique(toxicity.subwords(phrase)[0])] = 10
+    filler = ["f%d" % (i % 7) for i in range(200)]
+    texts = [" ".join(filler[:at] + phrase + filler[at:]) for at in range(0, 201, 3)]
+    scores = toxicity.Scorer(model).score(texts)
+    assert np.allclose(scores, scores[0])
+
+
+def test_runs_equal_brute_force():
+    pick = np.random.default_rng(3)
+    for size in (1, 2, 49, 50, 51, 99, 173):
+        numbers = pick.integers(0, 40, size)
+        margin = pick.normal(0, 1, 40)
+        plain = max(
+            sum(margin[w] for w in own) / (len(own) + toxicity.BLANKS)
+            for at in range(max(1, size - toxicity.PASSAGE + 1))
+            for own in [set(numbers[at : at + toxicity.PASSAGE])]
+        )
+        assert toxicity.run_means(numbers, margin[numbers]).max() == pytest.approx(plain)
