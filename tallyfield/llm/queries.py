@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import ann, embedding, mixing, pieces, ppm, quality, sharding, simhash, token_store, toxicity
+from tallyfield.llm import (
+    ann,
+    decontaminate,
+    embedding,
+    lexical,
+    mixing,
+    pieces,
+    ppm,
+    prefix_trie,
+    quality,
+    sharding,
+    simhash,
+    token_store,
+    toxicity,
+)
 from tallyfield.llm.common import prepare
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -36,6 +50,14 @@ def labels(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, directory: str) -> DataFrame:
+    return spark.read.parquet(f"{directory}/benchmark.parquet")
+
+
+def conversations(spark: SparkSession, directory: str) -> DataFrame:
+    return spark.read.parquet(f"{directory}/conversations.parquet")
+
+
 def tokenizer_file(name: str) -> str:
     """Where the installed package of public tokenizers keeps a file."""
     import public_tokenizers
@@ -102,3 +124,21 @@ def op9_simhash(spark, sf):
 def op10_mixing(spark, sf):
     """Words that the mix takes of every document."""
     return mixing.taken_words(documents(spark, sf))
+
+
+@query
+def op11_lexical(spark, sf):
+    """Ten highest-ranked documents of every benchmark item."""
+    return lexical.rank_documents(documents(spark, sf), benchmark(spark, sf))
+
+
+@query
+def op12_decontaminate(spark, sf):
+    """Words of all documents that lie in passages of benchmark items."""
+    return decontaminate.contamination(documents(spark, sf), benchmark(spark, sf))
+
+
+@query
+def op13_prefix_trie(spark, sf):
+    """All nodes of the prefix trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(conversations(spark, sf))
