@@ -7,8 +7,8 @@ the index is one such piece with its own lexicon, and a term's postings are runs
 ``tf`` of every query term bounds what a stratum can score. A search visits strata in falling
 order of that bound and stops, query by query, below the tenth score it has already found:
 
-1. every task visits only the best stratum of its own for each query, which gives a global
-   threshold per query;
+1. every task visits only strata that are the best it has met for a query, which gives a
+   global threshold per query;
 2. every task visits its strata in order, from that threshold on, and returns its best ten.
 
 Both read the index where it lies; only ten rows per query and task are shuffled. Texts are
@@ -40,6 +40,10 @@ TOP = 10
 #: Postings and documents after which a piece of a stratum is closed.
 PIECE_POSTINGS = 30_000
 PIECE_DOCS = 4_096
+#: Strata that are open at a time, in the order of their bounds.
+OPEN_STRATA = 32
+#: Range partitions of an index to one of a shuffle; the last ones hold the longest documents.
+FINER = 4
 #: Bytes of distinct query terms that are searched for together.
 BLOCK_BYTES = 1_000_000
 
@@ -136,7 +140,7 @@ def build_index(docs: DataFrame, piece_postings: int = PIECE_POSTINGS) -> Index:
     documents, length = counted.df.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     # Decimals keep the product exact where it leaves 64 bits.
     m = F.expr(f"25 + cast((75 * cast(n as decimal(20,0)) * {documents}BD) div {max(length, 1)}BD as bigint)")
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = FINER * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     placed = counted.df.select(m.alias("m"), "doc_id", "words", "tfs", F.monotonically_increasing_id().alias("_tie"))
     ranged = placed.repartitionByRange(parts, "m", "_tie").sortWithinPartitions("m", "_tie").drop("_tie")
     strata = store(ranged.mapInArrow(lambda rows: _strata(rows, piece_postings), _INDEX), "strata")
@@ -194,13 +198,19 @@ def _lexicons(batch: pa.RecordBatch, vocabulary: pa.Array) -> Iterator[tuple[np.
         yield here, known[a:b][here].astype(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, OPEN_STRATA):
+            yield batch.slice(at, OPEN_STRATA)
+
+
 def _document_counts(block: Broadcast, name: str):
     """Task that counts the documents of each query term."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, vocabulary = _shared(name, block)
         total = np.zeros(len(held.vocabulary), dtype=np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             columns = zip(batch.column("term_runs"), batch.column("run_ends"), _lexicons(batch, vocabulary), strict=True)
             for runs, ends, (here, terms_here) in columns:
                 upto = np.concatenate([[0], _ints(ends)[_ints(runs) - 1]])
@@ -294,8 +304,8 @@ def _search(block: Broadcast, name: str, first_only: bool):
         n = len(held.least)
         best = [_Best(int(x)) for x in held.least]
         visits, strata_read = np.zeros(n, dtype=np.int64), 0
-        first: dict[int, tuple[int, _Stratum]] = {}
-        for batch in batches:
+        visited = np.zeros(n, dtype=np.int64)  # best bound of the strata that the first wave has visited
+        for batch in _slices(batches):
             rows = [{c: batch.column(c)[i] for c in _INDEX_NAMES} for i in range(batch.num_rows)]
             strata = [
                 _Stratum(row, here, numbers, held)
@@ -303,20 +313,13 @@ def _search(block: Broadcast, name: str, first_only: bool):
             ]
             strata_read += len(strata)
             bounds = np.array([s.most for s in strata])
-            if first_only:
-                for q, s in enumerate(bounds.argmax(axis=0).tolist()):
-                    if bounds[s, q] > max(0, first.get(q, (0,))[0]):
-                        first[q] = (int(bounds[s, q]), strata[s])
-                continue
             for q in range(n):
                 for s in np.argsort(-bounds[:, q], kind="stable").tolist():
-                    if bounds[s, q] < best[q].least:
+                    if bounds[s, q] < best[q].least or first_only and bounds[s, q] <= visited[q]:
                         break
                     visits[q] += 1
+                    visited[q] = max(visited[q], bounds[s, q])
                     best[q].add(strata[s].scores(held, q), strata[s])
-        for q, (_, stratum) in first.items():
-            visits[q] += 1
-            best[q].add(stratum.scores(held, q), stratum)
         size = [len(b.scores) for b in best]
         ids = np.concatenate([b.ids for b in best]) if n else np.zeros(0, dtype=np.int64)
         unknown = ~np.concatenate([b.known for b in best]) if n else np.zeros(0, dtype=bool)
