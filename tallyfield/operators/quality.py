@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -150,29 +151,50 @@ MAX_LINE = 10_000
 CONTRACT_KEY = ["event_id", "_book", "market", "normalized_name", "side", "line"]
 
 
-def flag_offers(offers: DataFrame, now, stale_event_hours: int = 6, payload: str = "payload_id") -> DataFrame:
-    """First failing rule per record, then alias and duplicate checks, per payload.
-
-    Adds ``reject_category``, ``warnings`` and ``normalized_name``. Records are ordered by
-    ``record_index`` inside their payload.
-    """
-    line, odds = F.col("line"), F.col("american_odds")
-    known = F.coalesce(F.col("market").isin(*MARKETS), F.lit(False))
+def reject_rule(field: Callable[[str], Column]) -> Column:
+    """First rule that a single record breaks, or null; ``field`` gives its columns."""
+    line, odds, market = field("line"), field("american_odds"), field("market")
+    known = F.coalesce(market.isin(*MARKETS), F.lit(False))
     malformed = (
-        F.col("event_id").isNull()
-        | F.col("bookmaker").isNull()
-        | F.col("player").isNull()
+        field("event_id").isNull()
+        | field("bookmaker").isNull()
+        | field("player").isNull()
         | odds.isNull()
-        | ~F.coalesce(F.col("side").isin(*SIDES), F.lit(False))
+        | ~F.coalesce(field("side").isin(*SIDES), F.lit(False))
     )
-    impossible = F.isnan(line) | (line < 0) | (line > MAX_LINE) | ((F.col("market") == "player_anytime_td") & line.isNotNull())
-    category = (
+    impossible = F.isnan(line) | (line < 0) | (line > MAX_LINE) | ((market == "player_anytime_td") & line.isNotNull())
+    return (
         F.when(~known, "UNSUPPORTED_MARKET")
         .when(malformed, "MALFORMED_PAYLOAD")
-        .when(F.trim("player") == "", "MISSING_PLAYER_NAME")
+        .when(F.trim(field("player")) == "", "MISSING_PLAYER_NAME")
         .when(F.abs(odds) < 100, "INVALID_ODDS")
         .when(F.coalesce(impossible, F.lit(False)), "IMPOSSIBLE_LINE")
     )
+
+
+def valid_offers(offers: Column) -> Column:
+    """The records of one payload's array that ``flag_offers`` accepts, by sorting inside the array."""
+    passed = F.filter(offers, lambda o: reject_rule(o.getField).isNull())
+
+    def contract(o: Column) -> Column:
+        return F.struct(o["event_id"], F.lower(o["bookmaker"]), o["market"], normalize_name(o["player"]), o["side"], o["line"])
+
+    keyed = F.transform(passed, lambda o, i: F.struct(contract(o).alias("contract"), i.alias("i"), o.alias("offer")))
+    # Equal contracts are neighbours now, the first record of each in front; each meets the one before it.
+    ranked = F.array_sort(keyed)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(ranked, lambda k: F.to_json(k["contract"])))
+    paired = F.zip_with(ranked, before, lambda k, last: F.struct(k.alias("k"), last.alias("last")))
+    first = F.filter(paired, lambda p: p["k"].isNotNull() & ~F.to_json(p["k"]["contract"]).eqNullSafe(p["last"]))
+    return F.transform(first, lambda p: p["k"]["offer"])
+
+
+def flag_offers(offers: DataFrame, now, stale_event_hours: int = 6, payload: str = "payload_id") -> DataFrame:
+    """First failing rule per record, then alias and duplicate checks, per payload.
+
+    Adds ``reject_category``, ``warnings`` and ``normalized_name``. Records are ordered by
+    ``record_index`` inside their payload.
+    """
+    category = reject_rule(F.col)
     cutoff = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(stale_event_hours))
     stale = F.col("commence_time").cast("timestamp_ntz") < cutoff
     rows = offers.withColumns(

@@ -14,8 +14,7 @@ from tallyfield.operators import feeds, logs, market, paper, projections, qualit
 from tallyfield.plans.catalog import query, rounded
 from tallyfield.session import materialize, shared_dir
 from tallyfield.sources import odds_json, season_files, tables
-from tallyfield.streaming import ingest
-from tallyfield.streaming.state import read_state
+from tallyfield.streaming import ingest, keyed
 
 NOW = datetime(1998, 1, 1)
 
@@ -713,38 +712,54 @@ def evidence_reference_check(spark, sf):
 # --- streams --------------------------------------------------------------------------
 
 
-def _stream(spark, sf, name) -> DataFrame:
-    """The table as a stream, a bounded number of files to a micro-batch; a table is a file or a folder."""
-    schema, path = tables.table(spark, sf, name).schema, f"{sf}/{name}.parquet"
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
-        return reader.parquet(path)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+#: How late a tenth of the rows arrive, how late a row may be, and how long a silent key is remembered.
+LATE, DELAY, MEMORY = 20, "30 days", 10_000
+ARRIVALS = 4
+
+
+def arriving(rows: DataFrame, at: str, identity: str, out: str, run) -> None:
+    """Land a table in ``ARRIVALS`` slices of time and run a stream after each, from its checkpoint.
+
+    About a tenth of the rows of the last ``LATE`` days of a slice arrive with the next one.
+    """
+    spark = rows.sparkSession
+    day = F.unix_date(F.col(at).cast("date"))
+    first, last = rows.agg(F.min(day), F.max(day)).first()
+    width = (last - first) // (ARRIVALS - 1) + 1
+    slot = F.floor((day - first) / width).cast("int")
+    late = (day - first - slot * width >= width - LATE) & (F.pmod(F.xxhash64(identity), F.lit(10)) == 0)
+    landed = rows.withColumn("_slot", slot + late.cast("int"))
+    for k in range(ARRIVALS):
+        landed.filter(F.col("_slot") == k).drop("_slot").write.mode("append").parquet(f"{out}/landing")
+        run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{out}/landing"))
 
 
 @query
 def stream_movement(spark, sf):
     out = fresh_dir(spark, "movement")
-    quotes = tables.quotes_of(_stream(spark, sf, "lineitem"))
-    ingest.stream_movement(quotes, out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/directions").select("quote_id", "direction")
+    quotes = tables.quotes(spark, sf).select(*market.SERIES, "quote_id", "captured_at", "line", "american_odds")
+    go = lambda s: ingest.stream_movement(s, f"{out}/moves", f"{out}/checkpoint", DELAY, MEMORY).awaitTermination()
+    arriving(quotes, "captured_at", "quote_id", out, go)
+    return ingest.directions(spark.read.parquet(f"{out}/moves")).select("quote_id", "direction")
 
 
 @query
 def stream_provider_health(spark, sf):
     out = fresh_dir(spark, "health")
-    attempts = tables.attempts_of(_stream(spark, sf, "events"))
-    ingest.stream_provider_health(attempts, out, f"{out}/checkpoint").awaitTermination()
-    return rounded(read_state(spark, f"{out}/state/health", ["provider"], 2**31), "average_latency_ms")
+    attempts = tables.fetch_attempts(spark, sf)
+    go = lambda s: ingest.stream_provider_health(s, f"{out}/health", f"{out}/checkpoint", DELAY).awaitTermination()
+    arriving(attempts, "ended_at", "attempt_id", out, go)
+    rows = keyed.newest_health(spark.read.parquet(f"{out}/health"))
+    return rounded(rows.select(*feeds.HEALTH_COLUMNS), "average_latency_ms")
 
 
 @query
 def stream_suppress_unchanged(spark, sf):
     out = fresh_dir(spark, "suppress")
-    batches = tables.batches_of(_stream(spark, sf, "events"))
-    ingest.stream_suppress_unchanged(batches, out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{out}/batches").select("provider", "batch_id", "duplicate_suppressed", "row_count")
+    batches = tables.feed_batches(spark, sf)
+    go = lambda s: ingest.stream_suppress_unchanged(s, f"{out}/placed", f"{out}/checkpoint", DELAY, MEMORY).awaitTermination()
+    arriving(batches, "captured_at", "batch_id", out, go)
+    return ingest.suppressed(spark.read.parquet(f"{out}/placed")).select("provider", "batch_id", "duplicate_suppressed", "row_count")
 
 
 def polls_of(li: DataFrame) -> DataFrame:
@@ -775,22 +790,30 @@ def polls_of(li: DataFrame) -> DataFrame:
     )
 
 
-def _ingested(spark, sf) -> str:
+def _ingested(spark, sf, run) -> tuple[DataFrame, str]:
+    """Audit rows of all polls and the folder of what ``run`` wrote beside them."""
     out = fresh_dir(spark, "ingest")
-    polls = polls_of(_stream(spark, sf, "lineitem"))
-    ingest.stream_offers(polls, out, f"{out}/checkpoint", NOW).awaitTermination()
-    return out
+
+    def go(polls: DataFrame) -> None:
+        ingest.stream_decisions(polls, f"{out}/decisions", f"{out}/checkpoint/decisions", DELAY, MEMORY).awaitTermination()
+        run(polls, out)
+
+    arriving(polls_of(tables.table(spark, sf, "lineitem")), "captured_at", "poll_id", out, go)
+    return ingest.audit_of(spark.read.parquet(f"{out}/decisions")), out
 
 
 @query
 def stream_offers(spark, sf):
-    return spark.read.parquet(f"{_ingested(spark, sf)}/offers").select("poll_id", "market", "side", "line", "american_odds")
+    flags = lambda polls, out: ingest.stream_flags(polls, out, f"{out}/checkpoint/flags", NOW).awaitTermination()
+    audit, out = _ingested(spark, sf, flags)
+    offers = ingest.accepted_offers(spark.read.parquet(f"{out}/valid"), audit)
+    return offers.select("poll_id", "market", "side", "line", "american_odds")
 
 
 @query
 def ingest_audit(spark, sf):
-    rows = spark.read.parquet(f"{_ingested(spark, sf)}/audit")
-    return rows.select("poll_id", "provider", "status", "error_category", "error_message", "row_count")
+    audit, _ = _ingested(spark, sf, lambda polls, out: None)
+    return audit.select("poll_id", "provider", "status", "error_category", "error_message", "row_count")
 
 
 @query

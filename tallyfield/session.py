@@ -21,6 +21,8 @@ RUNTIME_SETTINGS = {
     # A skewed join is split even when that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keyed state of streams, which has timers and lists only in this store.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 _local_scratch: dict[str, str] = {}

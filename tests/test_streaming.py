@@ -5,11 +5,12 @@ from datetime import datetime, timedelta
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from tallyfield.operators import feeds, market
-from tallyfield.session import ROWS_PER_TASK
+from pyspark.sql import Window
+
+from tallyfield.functions.digests import array_digest
+from tallyfield.operators import feeds, market, quality
 from tallyfield.sources import tables
-from tallyfield.streaming import ingest
-from tallyfield.streaming.state import read_state
+from tallyfield.streaming import ingest, keyed
 
 NOW = datetime(2024, 1, 10, 12)
 
@@ -51,8 +52,9 @@ def test_ingest_polls_end_to_end(spark, tmp_path):
         os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
     out = str(tmp_path / "out")
     stream = ingest.read_polls(spark, str(tmp_path / "landing"), files_per_batch=1)
-    ingest.stream_offers(stream, out, str(tmp_path / "ckpt"), NOW).awaitTermination()
-    audit = {r.poll_id: r for r in spark.read.parquet(f"{out}/audit").collect()}
+    ingest.stream_offers(stream, out, str(tmp_path / "ckpt"), NOW)
+    trail = ingest.audit_of(spark.read.parquet(f"{out}/decisions"))
+    audit = {r.poll_id: r for r in trail.collect()}
     assert [audit[str(i)].status for i in range(1, 6)] == ["SUCCESS", "DUPLICATE_SUPPRESSED", "SUCCESS", "FAILED", "FAILED"]
     assert audit["2"].row_count == 0 and audit["3"].row_count == 1
     assert audit["4"].error_message == "GET ?apikey=[REDACTED]&x=1" and audit["5"].error_category == "DATA_QUALITY"
@@ -66,35 +68,62 @@ def test_ingest_polls_end_to_end(spark, tmp_path):
         ("3", 5, "MISSING_PLAYER_NAME"),
         ("5", 0, "INVALID_ODDS"),
     }
-    assert spark.read.parquet(f"{out}/offers").count() == 3
-    health = {r.provider: r for r in read_state(spark, f"{out}/state/health", ["provider"], 10**6).collect()}
+    assert ingest.accepted_offers(spark.read.parquet(f"{out}/valid"), trail).count() == 3
+    health = {r.provider: r for r in keyed.newest_health(spark.read.parquet(f"{out}/health")).collect()}
     assert (health["p"].status, health["p"].successful_fetches, health["p"].average_latency_ms) == ("DEGRADED", 3, 20.0)
     assert (health["q"].status, health["q"].average_latency_ms) == ("DEGRADED", 5.0)
 
 
-def split_files(df, path, files, order):
-    """Several files in the given order, so that a stream sees several micro-batches."""
-    pieces = df.withColumn("_n", F.ntile(files).over(__import__("pyspark").sql.Window.orderBy(*order))).persist()
-    for i in range(1, files + 1):
-        pieces.filter(F.col("_n") == i).drop("_n").coalesce(1).write.mode("append").parquet(path)
-    pieces.unpersist()
+def test_array_checks_equal_the_row_checks(spark):
+    """Validity and hash of a payload's array are those of its exploded rows."""
+    offers = [
+        offer(), offer("AB Smith"), offer(line=None), offer(line=None), offer("Mike Doe", bookmaker="book ONE"), offer("michael doe"),
+        offer(american_odds=50), offer(market="x"), offer(" "), offer(side=None), offer(player=None), offer(line=float("nan")), offer(event_id="e2"),
+    ]
+    schema = "poll_id string, offers array<struct<event_id:string,event_name:string,commence_time:string,bookmaker:string,market:string,player:string,side:string,line:double,american_odds:int>>"
+    rows = [(str(k), [tuple(o[c] for c in offer()) for o in offers[k:] + offers[:k]]) for k in range(len(offers))] + [("none", [])]
+    polls = spark.createDataFrame(rows, schema)
+    valid = quality.valid_offers(F.col("offers"))
+    got = polls.select("poll_id", F.size(valid).cast("long").alias("n"), array_digest(valid, ingest.PAYLOAD_FIELDS).alias("hash"))
+    exploded = polls.select("poll_id", F.posexplode("offers").alias("record_index", "o")).select("poll_id", "record_index", "o.*")
+    flagged = quality.flag_offers(exploded, NOW, payload="poll_id").filter("reject_category is null")
+    want = ingest.payload_hash(flagged, ["poll_id"]).select("poll_id", F.col("rows").alias("n"), F.col("payload_hash").alias("hash"))
+    same_rows(got.filter("n > 0"), want)
+    assert got.filter("poll_id = 'none'").first().n == 0
+
+
+def in_arrivals(spark, df, folder, arrivals, run):
+    """Land the rows of each arrival and run the stream after it, from its checkpoint."""
+    for condition in arrivals:
+        df.filter(condition).coalesce(2).write.mode("append").parquet(f"{folder}/in")
+        run(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")).awaitTermination()
 
 
 def test_movement_stream_equals_batch(spark, sf, tmp_path):
+    """Several micro-batches and restarts, a quarter of the rows late: the result is that of one sort."""
     quotes = tables.quotes(spark, sf).withColumn("player_id", F.col("player_id") % 3).withColumn("event_id", F.lit(1))
-    split_files(quotes, str(tmp_path / "in"), 4, market.ARRIVAL)
-    stream = spark.readStream.schema(quotes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    quotes = quotes.withColumn("_part", F.ntile(3).over(Window.orderBy(*market.ARRIVAL))).withColumn(
+        "_part", F.col("_part") + (F.pmod(F.xxhash64("quote_id"), F.lit(4)) == 0).cast("int")
+    )
     out = str(tmp_path / "out")
-    ingest.stream_movement(stream, out, str(tmp_path / "ckpt")).awaitTermination()
-    got = spark.read.parquet(f"{out}/directions")
-    assert got.select("epoch").distinct().count() == 4
-    want = market.movement_direction(quotes).select("quote_id", "direction")
-    same_rows(got.select("quote_id", "direction"), want)
-    spark.conf.set(ROWS_PER_TASK, "200")
-    try:
-        same_rows(ingest.move_batch(quotes, None).select("quote_id", "direction"), want)
-    finally:
-        spark.conf.unset(ROWS_PER_TASK)
+    go = lambda s: ingest.stream_movement(s, out, str(tmp_path / "ckpt"), "3000 days", 10_000)
+    in_arrivals(spark, quotes, str(tmp_path), [f"_part = {k}" for k in (1, 2, 3, 4)], go)
+    moves = spark.read.parquet(out)
+    assert moves.count() > quotes.count()  # some quotes were placed again
+    same_rows(ingest.directions(moves).select("quote_id", "direction"), market.movement_direction(quotes).select("quote_id", "direction"))
+
+
+def test_watermark_drops_and_timer_forgets(spark, tmp_path):
+    day = datetime(2031, 1, 1)
+    rows = [("a", 0, 0.0), ("b", 10, 1.0), ("late", 9, 2.0), ("too late", 1, 9.0), ("c", 11, 3.0), ("other", 400, 0.0), ("d", 401, 4.0)]
+    df = spark.createDataFrame(
+        [(n, 1 if n != "other" else 2, day + timedelta(days=d), x) for n, d, x in rows], "quote_id string, k int, captured_at timestamp_ntz, line double"
+    )
+    placed = lambda s: keyed.with_predecessor(s, ["k"], "captured_at", "quote_id", ["line"], "2 days", 30)
+    go = lambda s: ingest._to_table(placed(s), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    in_arrivals(spark, df, str(tmp_path), ["quote_id in ('a', 'b')", "quote_id in ('late', 'too late', 'c')", "quote_id = 'other'", "quote_id = 'd'"], go)
+    got = {r.quote_id: r.prev_line for r in keyed.newest_placement(spark.read.parquet(str(tmp_path / "out")), ["quote_id"], "quote_id").collect()}
+    assert got == {"a": None, "late": 0.0, "b": 2.0, "c": 1.0, "other": None, "d": None}
 
 
 def health_by_hand(rows):
@@ -123,11 +152,22 @@ def test_provider_health_batch_and_stream(spark, tmp_path):
     }
     want = health_by_hand(rows)
     assert as_map(feeds.provider_health(df)) == want
-    split_files(df, str(tmp_path / "in"), 3, ["ended_at"])
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    ingest.stream_provider_health(stream, out, str(tmp_path / "ckpt")).awaitTermination()
-    assert as_map(read_state(spark, f"{out}/state/health", ["provider"], 10**6)) == want
+    go = lambda s: ingest.stream_provider_health(s, out, str(tmp_path / "ckpt"), "1 day")
+    parts = ["attempt_id % 5 <> 0 and attempt_id < 60", "attempt_id % 5 = 0", "attempt_id % 5 <> 0 and attempt_id >= 60"]
+    in_arrivals(spark, df, str(tmp_path), parts, go)
+    assert as_map(keyed.newest_health(spark.read.parquet(out))) == want
+
+
+def test_health_folds_failures_behind_the_watermark(spark, tmp_path):
+    rows = [("p", i, NOW + timedelta(hours=i), False, 1.0, 0) for i in range(5)] + [("p", 9, NOW + timedelta(hours=9), True, 3.0, 7)]
+    rows += [("p", 8, NOW + timedelta(hours=8, minutes=30), False, 1.0, 0), ("p", 10, NOW + timedelta(hours=10), False, 1.0, 0)]
+    df = spark.createDataFrame(rows, "provider string, attempt_id int, ended_at timestamp_ntz, succeeded boolean, latency_ms double, records long")
+    out = str(tmp_path / "out")
+    go = lambda s: ingest.stream_provider_health(s, out, str(tmp_path / "ckpt"), "1 hour")
+    in_arrivals(spark, df, str(tmp_path), ["attempt_id < 3", "attempt_id between 3 and 4", "attempt_id = 9", "attempt_id = 8", "attempt_id = 10"], go)
+    fails = [r.consecutive_failures for r in spark.read.parquet(out).orderBy("attempts").collect()]
+    assert max(fails) == 5 and fails[-3:] == [0, 0, 1]
 
 
 def test_three_failures_are_down(spark):
@@ -142,11 +182,11 @@ def test_suppress_stream_equals_batch(spark, tmp_path):
     rows = [(f"p{i % 2}", f"b{i:03d}", NOW + timedelta(minutes=i), f"h{(i // 4) % 3}") for i in range(40)]
     schema = "provider string, batch_id string, captured_at timestamp_ntz, payload_hash string"
     df = spark.createDataFrame(rows, schema)
-    split_files(df, str(tmp_path / "in"), 5, ["captured_at"])
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    ingest.stream_suppress_unchanged(stream, out, str(tmp_path / "ckpt")).awaitTermination()
-    got = spark.read.parquet(f"{out}/batches").drop("epoch")
+    go = lambda s: ingest.stream_suppress_unchanged(s, out, str(tmp_path / "ckpt"), "1 day")
+    number = F.substring("batch_id", 2, 3).cast("int")
+    in_arrivals(spark, df, str(tmp_path), [(number % 3 != 0) & (number < 25), number % 3 == 0, (number % 3 != 0) & (number >= 25)], go)
+    got = ingest.suppressed(spark.read.parquet(out))
     same_rows(got, feeds.duplicate_batches(df))
     assert got.filter("duplicate_suppressed").count() > 0
 
@@ -170,25 +210,9 @@ def test_snapshot_unique_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_late_quote_does_not_set_the_series_back(spark, tmp_path):
-    base = tables.quotes(spark, "/root/testdata/sf0.001").limit(1).collect()[0].asDict()
-    schema = tables.quotes(spark, "/root/testdata/sf0.001").schema
-    day = datetime(2031, 1, 5)
-    order = [[1, 3], [2], [4]]
-    lines = {1: 5.5, 2: 3.5, 3: 7.5, 4: 6.5}
-    for n, hours in enumerate(order):
-        rows = [tuple((base | dict(quote_id=f"q{h}", line=lines[h], captured_at=day + timedelta(hours=h)))[c] for c in schema.names) for h in hours]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
-    ingest.stream_movement(stream, out, str(tmp_path / "ckpt")).awaitTermination()
-    got = {r.quote_id: r.direction for r in spark.read.parquet(f"{out}/directions").collect()}
-    assert got["q3"] == "UP" and got["q4"] == "DOWN"
-
-
 def test_stream_of_a_table_of_several_files(spark, sf, tmp_path):
     from tallyfield.plans import catalog_market
 
-    spark.read.parquet(f"{sf}/lineitem.parquet").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = catalog_market.stream_movement(spark, str(tmp_path))
-    assert got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog_market.stream_suppress_unchanged(spark, str(tmp_path))
+    assert got.count() == spark.read.parquet(f"{sf}/events.parquet").count()
