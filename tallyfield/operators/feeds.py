@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.names import book_key, normalize_name
-from tallyfield.operators.scan import look_back, ordered
+from tallyfield.operators.scan import look_back, ordered, with_totals
+from tallyfield.session import materialize
 
 
 def duplicate_batches(batches: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -53,7 +54,7 @@ def provider_health(attempts: DataFrame, previous: DataFrame | None = None) -> D
     at = F.struct("ended_at", "attempt_id")
     good = F.col("succeeded")
     last = attempts.filter(good).groupBy("provider").agg(F.max(at).alias("_last_good"))
-    rows = attempts.join(last, "provider", "left")
+    rows = with_totals(attempts, last, ["provider"])
     late = ~good & (F.col("_last_good").isNull() | (at > F.col("_last_good")))
     facts = rows.groupBy("provider").agg(
         F.count_if(good).alias("_good"),
@@ -169,7 +170,8 @@ def persist_offers(offers: DataFrame, players: DataFrame, aliases: DataFrame) ->
     from tallyfield.operators.market import vig_removal
 
     named = offers.withColumn("raw_name", F.col("player"))
-    resolved = resolve_alias(named, players, aliases)
+    # Stored, so that a name with very many offers can be split in the join below.
+    resolved = materialize(resolve_alias(named, players, aliases))
     keys = resolved.select("provider", "raw_name", "player_id")
     facts = named.join(keys, ["provider", "raw_name"], "left").withColumns(
         {"book_id": book_key(F.col("bookmaker")), "quote_id": F.col("offer_id"), "batch": F.col("batch_id")}

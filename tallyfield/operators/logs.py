@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tallyfield.functions.digests import row_digest
-from tallyfield.operators.scan import ordered, running
+from tallyfield.operators.scan import look_back, ordered, running, with_totals
+from tallyfield.session import materialize
 
 # Score components, weights and codes of the ranking policy.
 COMPONENTS = {
@@ -131,7 +135,7 @@ def validity_gate(requests: DataFrame, leases: DataFrame, readiness: DataFrame)
         F.min("ready_expires_at").alias("ready_expires_at"), F.bool_or("superseded").alias("superseded")
     )
     known = leases.withColumn("_known", F.lit(True))
-    rows = requests.join(known, "lease_id", "left").join(ready, "lease_id", "left")
+    rows = with_totals(requests.join(known, "lease_id", "left"), ready, ["lease_id"])
     at = F.col("instant")
     reasons = F.array_sort(
         F.array_compact(
@@ -166,9 +170,11 @@ def versioned_log(entries: DataFrame, log: DataFrame | None = None) -> DataFrame
     )
     firsts = firsts.select(*key, "_f.appended_at", "_f.entry_id", F.col("_f.content_digest").alias("first_digest"))
     if log is not None:
-        known = log.select(*key, F.col("content_digest").alias("first_digest"), "version")
+        # An entry that is sent again is told what it was told first.
+        sent = [F.col("entry_id").alias("_first")] if "entry_id" in log.columns else []
+        known = log.select(*key, F.col("content_digest").alias("first_digest"), "version", *sent)
         top = log.groupBy("stream").agg(F.max("version").alias("_top"))
-        firsts = firsts.join(known.select(*key), key, "left_anti").join(top, "stream", "left")
+        firsts = with_totals(firsts.join(known.select(*key), key, "left_anti"), top, ["stream"])
     else:
         firsts = firsts.withColumn("_top", F.lit(0))
     scan = running(ordered(firsts, ["stream"], ["appended_at", "entry_id"]), {"_n": ("count", F.lit(1))}, inclusive=True)
@@ -177,7 +183,7 @@ def versioned_log(entries: DataFrame, log: DataFrame | None = None) -> DataFrame
     )
     if log is not None:
         fresh = fresh.unionByName(known, allowMissingColumns=True)
-    joined = rows.join(fresh, key)
+    joined = with_totals(rows, fresh, key, "inner")
     outcome = (
         F.when(F.col("entry_id").eqNullSafe(F.col("_first")), "APPENDED")
         .when(F.col("content_digest") == F.col("first_digest"), "EXISTING")
@@ -186,12 +192,56 @@ def versioned_log(entries: DataFrame, log: DataFrame | None = None) -> DataFrame
     return joined.select("entry_id", *key, "content_digest", outcome.alias("outcome"), "version")
 
 
+def append_log(entries: DataFrame, path: str, batch: str) -> DataFrame:
+    """Append a batch to the log stored at ``path``; returns each entry's outcome and version.
+
+    Numbers continue from every stream's highest version. A batch writes its new versions into
+    a folder of its own, whose success marker ends it: without the marker a batch that is run
+    again replaces what it left, with it nothing is written and every entry gets its first answer.
+    """
+    batches = _batches(entries.sparkSession, path)
+    complete = batches.pop(batch, False)
+    if complete:
+        return versioned_log(entries, read_log(entries.sparkSession, path))
+    others = [name for name, ended in batches.items() if ended]
+    log = read_log(entries.sparkSession, path, others) if others else None
+    done = materialize(versioned_log(entries, log))
+    fresh = done.filter(F.col("outcome") == "APPENDED").select("stream", "idempotency_key", "content_digest", "version", "entry_id")
+    if log is not None:  # entries of other batches that were sent again
+        fresh = fresh.join(log.select("stream", "idempotency_key"), ["stream", "idempotency_key"], "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return done
+
+
+def _batches(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Batches at ``path`` and whether each has ended."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return {}
+    found = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("batch=")]
+    return {p.getName()[6:]: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) for p in found}
+
+
+def read_log(spark: SparkSession, path: str, batches: Sequence[str] | None = None) -> DataFrame:
+    """Versions of the given batches at ``path``, or of all that have ended."""
+    names = [b for b, ended in _batches(spark, path).items() if ended] if batches is None else batches
+    return spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in names])
+
+
 def log_gaps(log: DataFrame) -> DataFrame:
-    """Streams whose versions are not exactly 1..n."""
-    facts = log.groupBy("stream").agg(
-        F.count("*").alias("rows"), F.min("version").alias("lowest"), F.max("version").alias("highest")
-    )
-    return facts.filter((F.col("lowest") != 1) | (F.col("highest") != F.col("rows")))
+    """Missing versions of every stream as ranges ``missing_from``..``missing_to``.
+
+    A version is compared with the one before it in its stream; a stream of very many versions
+    is cut into chunks. Missing versions above the highest one cannot be known.
+    """
+
+    def build(df: DataFrame, window: WindowSpec) -> DataFrame:
+        return df.withColumn("_before", F.coalesce(F.lag("version").over(window), F.lit(0)))
+
+    rows = look_back(ordered(log.select("stream", "version"), ["stream"], ["version"]), 1, build).result()
+    missing = rows.filter(F.col("version") - F.col("_before") > 1)
+    return missing.select("stream", (F.col("_before") + 1).alias("missing_from"), (F.col("version") - 1).alias("missing_to"))
 
 
 def replay_verify(recorded: DataFrame, recomputed: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -214,7 +264,7 @@ def evidence_reference_check(requests: DataFrame, evidence: dict[str, DataFrame]
         known = frame.groupBy(F.col("scope"), F.col("reference").alias(f"{kind}_reference")).agg(
             F.count("*").alias(f"_{kind}_n"), F.min("digest").alias(f"_{kind}_digest")
         )
-        rows = rows.join(known, ["scope", f"{kind}_reference"], "left")
+        rows = with_totals(rows, known, ["scope", f"{kind}_reference"])
         code = kind.upper()
         codes += [
             F.when(F.col(f"_{kind}_n").isNull(), f"{code}_REFERENCE_MISSING"),

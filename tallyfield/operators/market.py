@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.odds import american_to_decimal, implied_probability, line_score
-from tallyfield.operators.scan import look_back, ordered, running
+from tallyfield.operators.scan import look_back, ordered, running, with_totals
 
 CONTRACT = ["event_id", "player_id", "market", "side"]
 SERIES = [*CONTRACT, "book_id"]
@@ -238,7 +238,7 @@ def opening_quote(requests: DataFrame, quotes: DataFrame) -> DataFrame:
     opening = quotes.groupBy(*SERIES).agg(
         F.min_by(F.struct("line", "american_odds"), F.struct(*ARRIVAL)).alias("_open")
     )
-    joined = requests.join(opening, SERIES, "left")
+    joined = with_totals(requests, opening, SERIES)
     own = F.struct("line", "american_odds")
     return joined.withColumn("_open", F.coalesce("_open", own)).select(
         *requests.columns,

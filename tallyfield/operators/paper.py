@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyfield.functions.odds import clv_columns, expected_return, implied_probability, settled_profit
 from tallyfield.functions.policy import (
@@ -20,7 +22,8 @@ from tallyfield.functions.policy import (
     recommendation,
 )
 from tallyfield.operators.market import CONTRACT, best_line, opening_quote
-from tallyfield.operators.scan import ordered, running
+from tallyfield.operators.scan import ordered, running, with_totals
+from tallyfield.session import materialize
 
 UNSETTLED = ("ACTIVE", "CLOSED")
 BET_CONTRACT = ["player_id", "event_id", "market", "side"]
@@ -101,7 +104,7 @@ def project_and_recommend(
     """
     asked = requests.join(quotes.select("quote_id", *CONTRACT), "quote_id", "left")
     best = best_line(quotes).withColumnRenamed("quote_id", "best_quote_id")
-    priced = asked.join(best.withColumnRenamed("captured_at", "quote_captured_at"), CONTRACT, "left")
+    priced = with_totals(asked, best.withColumnRenamed("captured_at", "quote_captured_at"), CONTRACT)
     rated = recommend(priced, policy)
     known = F.col("best_quote_id").isNotNull()
     rated = rated.withColumns(
@@ -115,7 +118,7 @@ def project_and_recommend(
         spent = earlier.groupBy(week.alias("_spent_week")).agg(
             F.sum("recommended_stake").cast("decimal(12,2)").alias("weekly_exposure")
         )
-        rated = rated.join(spent, week == F.col("_spent_week"), "left").drop("_spent_week")
+        rated = with_totals(rated.withColumn("_spent_week", week), spent, ["_spent_week"]).drop("_spent_week")
         rated = rated.withColumn("weekly_exposure", F.coalesce("weekly_exposure", money("0")))
     return stake_allocation(rated, policy)
 
@@ -157,16 +160,23 @@ def _flags(player: Column, event: Column) -> Column:
     )
 
 
-def with_open_exposure(requests: DataFrame, bets: DataFrame) -> DataFrame:
-    """Attach what the unsettled bets already hold on the same player, event and contract."""
-    open_bets = bets.filter(F.col("status").isin(*UNSETTLED))
-
-    def totals(keys, name):
-        return open_bets.groupBy(*keys).agg(F.sum("stake").alias(name))
+def with_open_exposure(requests: DataFrame, bets: DataFrame, scopes: Sequence[str] = ("player", "event", "contract")) -> DataFrame:
+    """Attach what the unsettled bets already hold on the same player, event and contract.
 
+    All totals come from one grouping-sets scan, which is stored, so a player with very many
+    requests can be split in the join. Only the scopes asked for are joined.
+    """
+    keys = {"player": ["player_id"], "event": ["event_id"], "contract": BET_CONTRACT}
+    open_bets = bets.filter(F.col("status").isin(*UNSETTLED))
+    marks = [F.grouping(c).alias(f"_g_{c}") for c in BET_CONTRACT]
+    sums = open_bets.groupingSets([keys[s] for s in scopes], *BET_CONTRACT).agg(F.sum("stake").alias("_open"), *marks)
+    sums = materialize(sums)
     rows = requests
-    for keys, name in ((["player_id"], "player_open"), (["event_id"], "event_open"), (BET_CONTRACT, "contract_open")):
-        rows = rows.join(totals(keys, name), keys, "left")
+    for scope in scopes:
+        used = keys[scope]
+        here = [F.col(f"_g_{c}") == (0 if c in used else 1) for c in BET_CONTRACT]
+        totals = sums.filter(reduce(and_, here)).select(*used, F.col("_open").alias(f"{scope}_open"))
+        rows = rows.join(totals, used, "left")
     return rows
 
 
@@ -174,12 +184,12 @@ def with_weekly_exposure(requests: DataFrame, bets: DataFrame) -> DataFrame:
     """Attach the stakes of all bets placed in the week of each request as ``weekly_open``."""
     week = F.date_trunc("week", F.col("placed_at"))
     totals = bets.groupBy(week.alias("_week")).agg(F.sum("stake").alias("weekly_open"))
-    rows = requests.join(totals, week == F.col("_week"), "left").drop("_week")
+    rows = with_totals(requests.withColumn("_week", week), totals, ["_week"]).drop("_week")
     return rows.withColumn("weekly_open", F.coalesce("weekly_open", money("0")))
 
 
 def correlation_flags(requests: DataFrame, bets: DataFrame) -> DataFrame:
-    rows = with_open_exposure(requests, bets)
+    rows = with_open_exposure(requests, bets, ("player", "event"))
     flags = _flags(F.col("player_open").isNotNull(), F.col("event_open").isNotNull())
     return rows.select(*requests.columns, flags.alias("correlation_flags"))
 
@@ -192,35 +202,40 @@ def weekly_exposure(bets: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def place_bets(
-    requests: DataFrame, bets: DataFrame, now: datetime, policy: Policy = Policy(), batch: int = 1000
-) -> DataFrame:
-    """Admit requests one after the other against all caps, duplicates and earlier admissions.
+def place_bets(requests: DataFrame, bets: DataFrame, now: datetime, policy: Policy = Policy()) -> DataFrame:
+    """Admit requests as if one after the other, against all caps, duplicates and earlier admissions.
+
+    The order is (``placed_at``, ``request_id``). Exposure only grows, so a request that
+    breaks a cap with what is admitted so far is refused for good, all at once. Of the rest,
+    the *front* is the longest prefix whose stakes fit into the week even if every contract in
+    it were admitted; the week cannot refuse anything there. The front is decided in parallel
+    rounds: a request is admitted when its player and event have room even for everything
+    undecided before it, and refused when they have none for what is admitted before it.
+    Its first undecided request is always decided, and a full player, event or contract
+    refuses all that follow, so rounds are few, however many requests share a contract. A
+    stake of zero takes no room and waits for no cap.
 
-    Admission only ever adds exposure, so a request that fails against the current state
-    fails for good. Each round takes the next ``batch`` requests that could still pass,
-    settles them in order and moves on; the weekly cap bounds how many are ever admitted.
-    The state each request met is then rebuilt with running sums in one plan.
+    Admitted ids are rows of a stored table; the driver holds sums of the week and counts. The
+    state each request met is rebuilt with running sums in one plan.
     """
     stake = money(F.coalesce(F.col("stake"), money(policy.default_unit)))
     rows = with_open_exposure(requests.withColumn("stake", stake), bets)
-    rows = rows.withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(20,2)").alias(c) for c in ("player_open", "event_open")}
-        | {"contract_open": F.col("contract_open").isNotNull()}
+    zero = F.lit(0).cast("decimal(20,2)")
+    rows = materialize(
+        rows.withColumns(
+            {c: F.coalesce(F.col(c), zero).cast("decimal(20,2)").alias(c) for c in ("player_open", "event_open")}
+            | {"contract_open": F.col("contract_open").isNotNull()}
+        )
     )
     week_open = weekly_exposure(bets, now).first()["weekly_open"]
-    accepted = _admit(rows, week_open, policy, batch)
-    spark = requests.sparkSession
-    keys = spark.createDataFrame([(r,) for r in accepted], rows.select("request_id").schema)
-    marked = rows.join(F.broadcast(keys.withColumn("accepted", F.lit(True))), "request_id", "left")
+    accepted = _admit(rows, week_open, policy)
+    marked = rows.join(accepted.select("request_id", F.lit(True).alias("accepted")), "request_id", "left")
     marked = marked.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     held = F.when(F.col("accepted"), F.col("stake"))
     one = F.when(F.col("accepted"), 1)
-    # Only contracts, players or events with an admission can have changed for later requests.
     for name, by in (("week", []), ("player", ["player_id"]), ("event", ["event_id"]), ("contract", BET_CONTRACT)):
         scan = running(ordered(marked, by, SLOT, sizes_of=rows), {f"{name}_sum": ("sum", held), f"{name}_n": ("count", one)})
         marked = scan.result()
-    zero = F.lit(0).cast("decimal(20,2)")
     duplicate = F.col("contract_open") | (F.col("contract_n") > 0)
     rejections = exposure_rejections(
         F.col("stake"),
@@ -241,54 +256,74 @@ def place_bets(
     )
 
 
-def _admit(rows: DataFrame, week_open: Decimal, policy: Policy, batch: int) -> list:
-    """Ids of the admitted requests, found in rounds of at most ``batch`` candidates."""
-    cap = {n: Decimal(getattr(policy, f"{n}_cap")) for n in ("single", "weekly", "player", "event")}
-    week, last = Decimal(week_open), None
-    player_sum: dict = {}
-    event_sum: dict = {}
-    taken, accepted = set(), []
-    spark = rows.sparkSession
+def _still_possible(rows: DataFrame, accepted: DataFrame | None, week_left: Decimal, policy: Policy) -> DataFrame:
+    """Requests that no cap refuses, given admissions that all come before them."""
+    zero = F.lit(0).cast("decimal(20,2)")
+    if accepted is not None:
+        rows = rows.join(accepted.select(*BET_CONTRACT), BET_CONTRACT, "left_anti")
+        for name in ("player", "event"):
+            totals = accepted.groupBy(f"{name}_id").agg(F.sum("stake").alias("_more"))
+            rows = with_totals(rows, totals, [f"{name}_id"])
+            rows = rows.withColumn(f"{name}_open", F.col(f"{name}_open") + F.coalesce("_more", zero)).drop("_more")
+    fits = F.col("stake") <= F.lit(week_left)
+    for name in ("player", "event"):
+        fits &= F.col(f"{name}_open") + F.col("stake") <= money(getattr(policy, f"{name}_cap"))
+    return rows.filter(fits)
+
+
+def _admit(rows: DataFrame, week_open: Decimal, policy: Policy) -> DataFrame:
+    """Stored table of the admitted requests, found front by front."""
+    week_left = Decimal(policy.weekly_cap) - Decimal(week_open)
     columns = ["request_id", "placed_at", *BET_CONTRACT, "stake", "player_open", "event_open"]
-    held_type = T.DecimalType(20, 2)
+    left = rows.filter(~F.col("contract_open") & (F.col("stake") <= money(policy.single_cap))).select(*columns)
+    left = materialize(_still_possible(left, None, week_left, policy))
+    parts: list[DataFrame] = []
+    while not left.isEmpty():
+        # A contract counts with its largest stake so far: at most one of its requests is admitted.
+        room = running(ordered(left, BET_CONTRACT, SLOT), {"_most": ("max", F.col("stake"))}).result()
+        room = room.withColumn("_adds", F.greatest(F.col("stake") - F.coalesce("_most", F.lit(0)), F.lit(0))).drop("_most")
+        summed = running(ordered(room, [], SLOT, sizes_of=left), {"_upto": ("sum", F.col("_adds"))}, inclusive=True).result()
+        summed = materialize(summed)
+        in_front = F.col("_upto") <= F.lit(week_left)
+        accepted = _decide(summed.filter(in_front).drop("_adds", "_upto"), policy)
+        parts.append(accepted)
+        week_left -= accepted.agg(F.sum("stake")).first()[0] or Decimal(0)
+        left = materialize(_still_possible(summed.filter(~in_front).drop("_adds", "_upto"), accepted, week_left, policy))
+    empty = left.select("request_id")
+    return reduce(DataFrame.unionByName, [p.select("request_id") for p in parts], empty)
+
+
+def _decide(front: DataFrame, policy: Policy) -> DataFrame:
+    """Admitted rows of requests that only players, events and contracts can refuse."""
+    rows = materialize(front.withColumn("_in", F.lit(False)))
+    mine = F.when(F.col("_in"), F.col("stake"))
+    zero = F.lit(0).cast("decimal(20,2)")
     while True:
-        left = rows.filter(~F.col("contract_open") & (F.col("stake") <= cap["single"]))
-        left = left.filter(F.col("stake") + F.lit(week) <= cap["weekly"])
-        if last is not None:
-            at = F.lit(last[0]).cast(rows.schema["placed_at"].dataType)
-            later = (F.col("placed_at") == at) & (F.col("request_id") > F.lit(last[1]))
-            left = left.filter((F.col("placed_at") > at) | later)
-        for name, sums in (("player", player_sum), ("event", event_sum)):
-            added = None
-            if sums:
-                schema = T.StructType([rows.schema[f"{name}_id"], T.StructField(f"_{name}", held_type)])
-                added = spark.createDataFrame(list(sums.items()), schema)
-            held = F.col(f"{name}_open")
-            if added is not None:
-                left = left.join(F.broadcast(added), f"{name}_id", "left")  # bounded by the weekly cap
-                held = held + F.coalesce(F.col(f"_{name}"), F.lit(0).cast("decimal(20,2)"))
-            left = left.filter(held + F.col("stake") <= cap[name])
-        candidates = left.orderBy(*SLOT).limit(batch).select(*columns).collect()
-        for c in candidates:
-            contract = tuple(c[k] for k in BET_CONTRACT)
-            player = c.player_open + player_sum.get(c.player_id, Decimal(0))
-            event = c.event_open + event_sum.get(c.event_id, Decimal(0))
-            if contract in taken or week + c.stake > cap["weekly"]:
-                continue
-            if player + c.stake > cap["player"] or event + c.stake > cap["event"]:
-                continue
-            week += c.stake
-            player_sum[c.player_id] = player_sum.get(c.player_id, Decimal(0)) + c.stake
-            event_sum[c.event_id] = event_sum.get(c.event_id, Decimal(0)) + c.stake
-            taken.add(contract)
-            accepted.append(c.request_id)
-        if len(candidates) < batch:
-            return accepted
-        last = (candidates[-1].placed_at, candidates[-1].request_id)
+        contract = {
+            "_taken": ("count", F.when(F.col("_in"), 1)),
+            "_open": ("count", F.when(~F.col("_in"), 1)),
+            "_most": ("max", F.when(~F.col("_in"), F.col("stake"))),
+        }
+        seen = running(ordered(rows, BET_CONTRACT, SLOT), contract).result()
+        adds = F.greatest(F.col("stake") - F.coalesce("_most", F.lit(0)), F.lit(0))
+        seen = seen.withColumn("_adds", F.when(~F.col("_in"), adds)).drop("_most")
+        for name in ("player", "event"):
+            sums = {f"_{name}_in": ("sum", mine), f"_{name}_may": ("sum", F.col("_adds"))}
+            seen = running(ordered(seen, [f"{name}_id"], SLOT, sizes_of=rows), sums).result()
+        sure, refused = F.coalesce("_open", F.lit(0)) == 0, F.coalesce("_taken", F.lit(0)) > 0
+        for name in ("player", "event"):
+            cap = money(getattr(policy, f"{name}_cap"))
+            least = F.col(f"{name}_open") + F.coalesce(f"_{name}_in", zero) + F.col("stake")
+            refused |= least > cap
+            sure &= least + F.coalesce(f"_{name}_may", zero) <= cap
+        decided = seen.filter(F.col("_in") | ~refused).withColumn("_in", F.col("_in") | sure)
+        rows = materialize(decided.select(*rows.columns))
+        if rows.filter(~F.col("_in")).isEmpty():
+            return rows.drop("_in")
 
 
 def bet_rows(placed: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Bet rows of admitted requests with the opening quote of their series."""
+    """Bet rows of admitted requests with the opening quote of their series, or else their own."""
     return opening_quote(placed.filter("accepted"), quotes).withColumn("status", F.lit("ACTIVE"))
 
 

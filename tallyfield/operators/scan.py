@@ -166,6 +166,21 @@ def _combine(kind: str, here: Column, carried: Column) -> Column:
     return F.coalesce(here + carried, here, carried)
 
 
+def with_totals(rows: DataFrame, totals: DataFrame, keys: Sequence[str], how: str = "left", nulls_match: bool = False) -> DataFrame:
+    """Join one row per key to rows of which very many may share a key.
+
+    The totals are stored first. A join that reads an aggregate of its own stage cannot be
+    divided, as the aggregate needs its key in one task; a join of two scans can, and the
+    adaptive planner splits the hot key's rows over tasks that each read its one total.
+    """
+    stored = materialize(totals)
+    if not nulls_match:
+        return rows.join(stored, list(keys), how)
+    added = [c for c in stored.columns if c not in keys]
+    joined = rows.join(stored, null_safe(rows, stored, keys), how)
+    return joined.select(*[rows[c] for c in rows.columns], *[stored[c] for c in added])
+
+
 def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
@@ -180,9 +195,7 @@ def exact_quantiles(
     ranked = running(scan, {"_end": ("sum", F.col("_n"))}, inclusive=True).result()
     size = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     if groups:
-        both = ranked.join(size, null_safe(ranked, size, groups)).select(
-            *[ranked[c] for c in ranked.columns], size["_total"]
-        )
+        both = with_totals(ranked, size, groups, "inner", nulls_match=True)
     else:
         both = with_one_row(ranked, size)
     picks = []

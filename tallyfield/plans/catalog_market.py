@@ -505,14 +505,33 @@ def exposure_rejections(spark, sf):
     return rows.select("request_id", joined(reasons).alias("rejections"))
 
 
+#: Caps wide enough that a few dozen requests are admitted and every cap refuses some.
+WIDE = policy.Policy(single_cap="50.00", weekly_cap="800.00", player_cap="70.00", event_cap="90.00")
+
+
 @query
 def place_bets(spark, sf):
-    placed = paper.place_bets(*_bet_requests(spark, sf), datetime(2001, 8, 1))
+    placed = paper.place_bets(*_bet_requests(spark, sf), datetime(2001, 8, 1), WIDE)
     return placed.select(
         "request_id", "accepted", joined("rejections").alias("rejections"), joined("correlation_flags").alias("flags")
     )
 
 
+@query
+def bet_rows(spark, sf):
+    """Bets of the admitted requests with the opening quote of their series."""
+    fresh, bets = _bet_requests(spark, sf)
+    known = tables.bets(spark, sf).select(F.col("bet_id").alias("request_id"), "book_id", "line", "american_odds")
+    placed = paper.place_bets(fresh, bets, datetime(2001, 8, 1), WIDE).join(known, "request_id")
+    quotes = tables.bets(spark, sf).filter("status <> 'SETTLED'").select(
+        F.col("bet_id").alias("quote_id"), "player_id", "event_id", "market", "side", "book_id",
+        (F.col("line") - 1).alias("line"), F.lit(120).alias("american_odds"), F.col("placed_at").alias("captured_at"),
+    )
+    quotes = quotes.withColumn("side", F.when(F.col("quote_id") % 3 == 0, "none").otherwise(F.col("side")))
+    rows = paper.bet_rows(placed, quotes)
+    return rows.select("request_id", "stake", "line", "american_odds", "opening_line", "opening_odds", "status")
+
+
 @query
 def exposures(spark, sf):
     return paper.exposures(tables.bets(spark, sf))
@@ -603,6 +622,34 @@ def versioned_log(spark, sf):
     return logs.versioned_log(entries)
 
 
+def _log_entries(spark, sf) -> DataFrame:
+    events = tables.table(spark, sf, "events")
+    return events.select(
+        F.col("user_id").alias("stream"),
+        F.concat_ws("-", "event_type", F.floor("value").cast("string")).alias("idempotency_key"),
+        F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("content"),
+        F.col("ts").alias("appended_at"),
+        F.col("event_id").alias("entry_id"),
+    )
+
+
+@query
+def append_log(spark, sf):
+    """Two appends to a stored log, the second repeating a part of the first, which is then sent again."""
+    entries, path = _log_entries(spark, sf), fresh_dir(spark, "log")
+    first = entries.filter("entry_id % 2 = 0")
+    logs.append_log(first, path, "first")
+    second = logs.append_log(entries.filter("entry_id % 2 = 1 or entry_id % 10 = 0"), path, "second")
+    again = logs.append_log(first, path, "first").filter("entry_id % 10 <> 0")
+    return second.unionByName(again).select("entry_id", "stream", "idempotency_key", "outcome", "version")
+
+
+@query
+def log_gaps(spark, sf):
+    log = logs.versioned_log(_log_entries(spark, sf)).filter("outcome = 'APPENDED'")
+    return logs.log_gaps(log.filter("version % 7 <> 3 and version % 11 <> 4"))
+
+
 def _candidates(spark, sf) -> DataFrame:
     li = tables.table(spark, sf, "lineitem")
     q = tables.quotes_of(li)
@@ -816,6 +863,22 @@ def ingest_audit(spark, sf):
     return audit.select("poll_id", "provider", "status", "error_category", "error_message", "row_count")
 
 
+@query
+def stream_snapshot_unique(spark, sf):
+    """Quotes of a stream without repeats: every seventh arrives twice, at once or with the next slice."""
+    out = fresh_dir(spark, "unique")
+    quotes = tables.quotes(spark, sf)
+    again = quotes.filter("crc32(quote_id) % 7 = 0").withColumn("quote_id", F.concat(F.lit("again-"), "quote_id"))
+
+    def go(stream: DataFrame) -> None:
+        ingest._to_table(ingest.stream_snapshot_unique(stream, DELAY), f"{out}/quotes", f"{out}/checkpoint").awaitTermination()
+
+    arriving(quotes.unionByName(again), "captured_at", "quote_id", out, go)
+    kept = spark.read.parquet(f"{out}/quotes")
+    columns = ["event_id", "player_id", "book_id", "market", "side", "line", "american_odds"]
+    return kept.select(*columns, F.col("captured_at").cast("timestamp_ntz").alias("captured_at"))
+
+
 @query
 def movement_pages(spark, sf):
     points = market.movement_points(market.movement_direction(tables.quotes(spark, sf)))

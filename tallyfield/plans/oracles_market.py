@@ -414,3 +414,68 @@ M["ingest_audit"] = f"""WITH {POLLS} SELECT p.poll_id, p.provider,
 M["movement_pages"] = ORACLES["movement_points"].replace("SELECT event_id", ", points AS (SELECT event_id").rstrip() + """)
   SELECT event_id, player_id, market, side, book_id, CAST((point_no - 1) // 5 AS INT) AS page_no, count(*) AS points,
          string_agg(direction, ';' ORDER BY point_no) AS directions FROM points GROUP BY ALL"""
+
+# Admission one request after the other: every step looks for the next request that all caps let through.
+ADMISSION = f"""RECURSIVE {FRESH.removeprefix("WITH ")},
+r AS MATERIALIZED (
+  SELECT f.request_id, f.player_id, f.event_id, f.market, f.side, f.placed_at, CAST(round(f.stake * 100 / 10) AS DECIMAL(12,2)) / 100 AS st,
+         coalesce((SELECT sum(stake) FROM open_bets o WHERE o.player_id = f.player_id), 0) AS po,
+         coalesce((SELECT sum(stake) FROM open_bets o WHERE o.event_id = f.event_id), 0) AS eo,
+         EXISTS (SELECT 1 FROM open_bets o WHERE o.player_id = f.player_id AND o.event_id = f.event_id AND o.market = f.market AND o.side = f.side) AS dup,
+         row_number() OVER (ORDER BY placed_at, request_id) AS slot
+  FROM fresh f),
+w0 AS (SELECT coalesce(sum(stake), 0) AS week FROM bets WHERE status <> 'ACTIVE' AND placed_at >= TIMESTAMP '2001-07-30'),
+possible AS MATERIALIZED (SELECT r.* FROM r, w0 WHERE NOT dup AND st <= 50 AND week + st <= 800 AND po + st <= 70 AND eo + st <= 90),
+steps AS (
+  SELECT 0::BIGINT AS slot, [] :: STRUCT(slot BIGINT, p BIGINT, e BIGINT, c VARCHAR, st DOUBLE)[] AS acc, 0::BIGINT AS n
+  UNION ALL
+  SELECT min(q.slot), list_append(any_value(s.acc), min_by({{'slot': q.slot, 'p': q.player_id, 'e': q.event_id::BIGINT, 'c': concat_ws('|', q.player_id, q.event_id, q.market, q.side), 'st': q.st::DOUBLE}}, q.slot)), any_value(s.n) + 1
+  FROM steps s, possible q, w0
+  WHERE q.slot > s.slot
+    AND week + q.st + coalesce(list_sum(list_transform(s.acc, lambda x: x.st)), 0) <= 800.001
+    AND q.po + q.st + coalesce(list_sum(list_transform(list_filter(s.acc, lambda x: x.p = q.player_id), lambda x: x.st)), 0) <= 70.001
+    AND q.eo + q.st + coalesce(list_sum(list_transform(list_filter(s.acc, lambda x: x.e = q.event_id), lambda x: x.st)), 0) <= 90.001
+    AND NOT list_contains(list_transform(s.acc, lambda x: x.c), concat_ws('|', q.player_id, q.event_id, q.market, q.side))
+  HAVING count(*) > 0),
+acc AS MATERIALIZED (SELECT unnest(acc, recursive := true) FROM (SELECT acc FROM steps ORDER BY n DESC LIMIT 1))"""
+M["place_bets"] = f"""WITH {ADMISSION},
+m AS (
+  SELECT r.*, week + coalesce((SELECT sum(a.st) FROM acc a WHERE a.slot < r.slot), 0) AS w,
+         po + coalesce((SELECT sum(a.st) FROM acc a WHERE a.slot < r.slot AND a.p = r.player_id), 0) AS p,
+         eo + coalesce((SELECT sum(a.st) FROM acc a WHERE a.slot < r.slot AND a.e = r.event_id), 0) AS e,
+         po > 0 OR EXISTS (SELECT 1 FROM acc a WHERE a.slot < r.slot AND a.p = r.player_id) AS same_player,
+         eo > 0 OR EXISTS (SELECT 1 FROM acc a WHERE a.slot < r.slot AND a.e = r.event_id) AS same_event,
+         dup OR EXISTS (SELECT 1 FROM acc a WHERE a.slot < r.slot AND a.c = concat_ws('|', player_id, event_id, market, side)) AS twice,
+         EXISTS (SELECT 1 FROM acc a WHERE a.slot = r.slot) AS accepted
+  FROM r, w0)
+SELECT request_id, accepted, CASE WHEN twice THEN 'Duplicate active paper bet rejected.' ELSE concat_ws(';',
+    CASE WHEN st > 50 THEN 'Exceeds maximum single stake of $50.' END,
+    CASE WHEN w + st > 800.001 THEN 'Exceeds maximum weekly exposure of $800.' END,
+    CASE WHEN p + st > 70.001 THEN 'Exceeds maximum player exposure of $70.' END,
+    CASE WHEN e + st > 90.001 THEN 'Exceeds maximum event exposure of $90.' END) END AS rejections,
+  CASE WHEN accepted THEN concat_ws(';', CASE WHEN same_player THEN 'CORRELATED_SAME_PLAYER' END, CASE WHEN same_event THEN 'CORRELATED_SAME_EVENT' END) END AS flags
+FROM m"""
+M["bet_rows"] = f"""WITH {ADMISSION},
+q AS (SELECT player_id, event_id, market, CASE WHEN bet_id % 3 = 0 THEN 'none' ELSE side END AS side, book_id,
+             arg_min({{'l': line - 1}}, (placed_at, bet_id)).l AS opening_line FROM bets WHERE status <> 'SETTLED' GROUP BY ALL)
+SELECT r.request_id, r.st AS stake, b.line, b.american_odds,
+       CASE WHEN q.player_id IS NULL THEN b.line ELSE q.opening_line END AS opening_line,
+       CASE WHEN q.player_id IS NULL THEN b.american_odds ELSE 120 END AS opening_odds, 'ACTIVE' AS status
+FROM acc JOIN r USING (slot) JOIN bets b ON b.bet_id = r.request_id
+LEFT JOIN q ON q.player_id = b.player_id AND q.event_id = b.event_id AND q.market = b.market AND q.side = b.side AND q.book_id = b.book_id"""
+LOG = """e AS (
+  SELECT user_id AS stream, event_type || '-' || CAST(floor(value) AS BIGINT) AS idempotency_key, sha256(event_type || event_id % 3) AS digest,
+         ts, event_id AS entry_id, event_id % 2 AS batch FROM events)"""
+M["append_log"] = f"""WITH {LOG},
+f AS (SELECT *, first_value(entry_id) OVER k AS first_id, first_value(digest) OVER k AS first_digest FROM e
+      WINDOW k AS (PARTITION BY stream, idempotency_key ORDER BY batch, ts, entry_id)),
+v AS (SELECT stream, idempotency_key, row_number() OVER (PARTITION BY stream ORDER BY batch, ts, entry_id) AS version FROM f WHERE entry_id = first_id)
+SELECT entry_id, stream, idempotency_key,
+       CASE WHEN entry_id = first_id THEN 'APPENDED' WHEN digest = first_digest THEN 'EXISTING' ELSE 'CONFLICT' END AS outcome, version
+FROM f JOIN v USING (stream, idempotency_key)"""
+M["log_gaps"] = f"""WITH {LOG},
+n AS (SELECT stream, count(DISTINCT idempotency_key) AS n FROM e GROUP BY stream),
+v AS (SELECT stream, unnest(range(1, n + 1)) AS version FROM n),
+kept AS (SELECT *, lag(version, 1, 0) OVER (PARTITION BY stream ORDER BY version) AS before FROM v WHERE version % 7 <> 3 AND version % 11 <> 4)
+SELECT stream, before + 1 AS missing_from, version - 1 AS missing_to FROM kept WHERE version - before > 1"""
+M["stream_snapshot_unique"] = f"WITH {QUOTES} SELECT DISTINCT event_id, player_id, book_id, market, side, line, american_odds, captured_at FROM quotes"

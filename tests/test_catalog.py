@@ -10,7 +10,6 @@ from tallyfield.session import ROWS_PER_TASK
 
 # Queries whose values have no practical SQL form; each is tested against a brute force elsewhere.
 ROWS_ONLY = {
-    "place_bets",
     "digest_table",
     "payload_hash",
     "paired_mae_bootstrap",

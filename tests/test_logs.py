@@ -68,7 +68,29 @@ def test_versioned_log_continues_and_finds_conflicts(spark):
     )
     second = {r.entry_id: (r.outcome, r.version) for r in logs.versioned_log(more, log).collect()}
     assert second == {5: ("EXISTING", 2), 6: ("APPENDED", 3), 7: ("APPENDED", 1)}
-    assert logs.log_gaps(log).count() == 0 and logs.log_gaps(log.filter("version <> 1")).count() == 1
+    assert logs.log_gaps(log).count() == 0 and logs.log_gaps(log.filter("version <> 1")).collect() == [("s", 1, 1)]
+
+
+def test_append_log_is_idempotent(spark, tmp_path):
+    schema = "stream string, idempotency_key string, content string, appended_at timestamp_ntz, entry_id int"
+    one = spark.createDataFrame([("s", "k1", "a", T0, 1), ("s", "k1", "b", T0, 2), ("t", "k1", "a", T0, 3)], schema)
+    two = spark.createDataFrame([("s", "k2", "a", T0, 4), ("s", "k1", "a", T0, 5), ("t", "k9", "a", T0, 6), ("u", "k", "a", T0, 7), ("s", "k1", "a", T0, 1)], schema)
+    path = str(tmp_path / "log")
+    as_set = lambda df: {(r.entry_id, r.outcome, r.version) for r in df.collect()}
+    first = as_set(logs.append_log(one, path, "a"))
+    assert first == {(1, "APPENDED", 1), (2, "CONFLICT", 1), (3, "APPENDED", 1)}
+    second = as_set(logs.append_log(two, path, "b"))
+    assert second == {(4, "APPENDED", 2), (5, "EXISTING", 1), (6, "APPENDED", 2), (7, "APPENDED", 1), (1, "APPENDED", 1)}
+    assert as_set(logs.append_log(one, path, "a")) == first and as_set(logs.append_log(two, path, "b")) == second
+    (tmp_path / "log" / "batch=b" / "_SUCCESS").unlink()  # an append that broke off
+    assert logs.read_log(spark, path).count() == 2
+    assert as_set(logs.append_log(two, path, "b")) == second and logs.read_log(spark, path).count() == 5
+
+
+def test_gaps_of_a_long_stream(spark, split_groups):
+    gone = {1, 2, 9, 30, 31, 32, 47}
+    log = spark.createDataFrame([(s, v) for s in "ab" for v in range(1, 50) if s == "b" or v not in gone], "stream string, version long")
+    assert sorted(logs.log_gaps(log).collect()) == [("a", 1, 2), ("a", 9, 9), ("a", 30, 32), ("a", 47, 47)]
 
 
 def test_validity_gate(spark):

@@ -5,8 +5,8 @@ from conftest import same_rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyfield.operators.scan import exact_quantiles, look_back, ordered, running
-from tallyfield.session import ROWS_PER_TASK
+from tallyfield.operators.scan import exact_quantiles, look_back, ordered, running, with_totals
+from tallyfield.session import ROWS_PER_TASK, materialize
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +76,31 @@ def test_exact_quantiles_equal_percentile(spark, skewed, groups, limit):
         same_rows(got, want)
     finally:
         spark.conf.unset(ROWS_PER_TASK)
+
+
+def test_a_hot_key_is_split_in_a_join_with_totals(spark):
+    """The finished plan says so; the same join without the stored totals cannot be split."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(7)).alias("k"), "id")
+    totals = rows.groupBy("k").agg(F.count("*").alias("n"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        # More than one file, so that the hot key's rows come from several map tasks.
+        plans = []
+        for joined in (with_totals(materialize(rows.repartition(8)), totals, ["k"]), materialize(rows.repartition(8)).join(totals, "k", "left")):
+            assert joined.filter("k = 7 and n <> 180001 and n <> 180000").count() == 0
+            joined.write.format("noop").mode("overwrite").save()
+            joined.collect()
+            plans.append(joined._jdf.queryExecution().executedPlan().toString())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert "skew=true" in plans[0] and "skew=true" not in plans[1]
