@@ -2,8 +2,9 @@
 
 Every step keeps connectivity and the number of edges does not grow: an edge set becomes a
 forest of stars around the smallest node after O(log^2 n) rounds. Minima are combined on
-the map side; the join that hands a node's minimum to its edges is an inner join, which
-the adaptive planner splits when one node holds very many edges.
+the map side and stored before the join that hands a node's minimum to its edges: both
+sides of that join are scans then, so the adaptive planner can split a node of very many
+edges. (A join that reads an aggregate of its own stage cannot be split.)
 """
 
 from __future__ import annotations
@@ -16,23 +17,27 @@ from tallyfield.llm.common import Stored, store
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> Stored:
     """Connect each larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.select(F.col("a").alias("n"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("n"), F.col("a").alias("v"))
     )
-    least = both.groupBy("n").agg(F.min("v").alias("m"))
+    least = store(both.groupBy("n").agg(F.min("v").alias("m")), "least")
     larger = edges.select(F.col("a").alias("n"), F.col("b").alias("v"))
-    joined = larger.join(least, "n").select(F.least("m", "n").alias("a"), F.col("v").alias("b"))
-    return joined.distinct()
+    joined = larger.join(least.df, "n").select(F.least("m", "n").alias("a"), F.col("v").alias("b"))
+    found = store(joined.distinct(), "edges")
+    least.drop()
+    return found
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> Stored:
     """Connect each node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    joined = edges.join(least, "b")
+    least = store(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
+    joined = edges.join(least.df, "b")
     moved = joined.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
+    found = store(moved.unionByName(least.df.select(F.col("m").alias("a"), "b")).distinct(), "edges")
+    least.drop()
+    return found
 
 
 def components(links: DataFrame) -> Stored:
@@ -53,9 +58,10 @@ def components(links: DataFrame) -> Stored:
         if state == seen or not state[0]:
             break
         seen = state
-        after = store(_small_star(_large_star(edges.df)), "edges")
+        large = _large_star(edges.df)
         edges.drop()
-        edges = after
+        edges = _small_star(large.df)
+        large.drop()
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = edges.df.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -200,9 +200,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     own = own.join(groups.df, own["number"] == groups.df["node"], "left").select(
         "label", "vector", "copies", "n", "least", F.coalesce("component", "number").alias("root")
     )
-    least = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Both sides are stored, so a root of very many vectors can be split in the join.
+    own = store(own, "rooted")
+    least = store(own.df.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     result = store(
-        own.join(least, "root").select(
+        own.df.join(least.df, "root").select(
             "label", "vector", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")
         ),
         "vector-groups",

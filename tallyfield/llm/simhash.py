@@ -158,7 +158,8 @@ def link_fingerprints(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
         for n, (i, j, k) in enumerate(positional_triples())
     ]
     postings = distinct.select(value, F.explode(F.array(*keys)).alias("posting"))
-    shared = postings.groupBy("posting").count().filter("count > 1")
+    # Stored, so that the rows of a frequent posting can be split in the join.
+    shared = store(postings.groupBy("posting").count().filter("count > 1"), "postings").df
     blocks = F.ceil(F.col("count") / block).cast("int")
     own = F.pmod(F.xxhash64(value), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
@@ -184,12 +185,13 @@ def component_of_fingerprints(prints: Stored | DataFrame) -> Stored:
     rows = prints.df if isinstance(prints, Stored) else prints
     smallest = store(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
     groups = components(link_fingerprints(smallest.df.select("fingerprint")))
-    with_root = smallest.df.join(groups.df, smallest.df["fingerprint"] == groups.df["node"], "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")
-    )
-    of_root = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = store(with_root.join(of_root, "root").select("fingerprint", "component_id", "root"), "print-groups")
-    groups.drop()
+    joined = smallest.df.join(groups.df, smallest.df["fingerprint"] == groups.df["node"], "left")
+    with_root = store(joined.select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("root")), "roots")
+    # Both sides are stored, so a root of very many fingerprints can be split in the join.
+    of_root = store(with_root.df.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    found = store(with_root.df.join(of_root.df, "root").select("fingerprint", "component_id", "root"), "print-groups")
+    for table in (groups, with_root, of_root):
+        table.drop()
     smallest.drop()
     return found
 
