@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm.common import remainder
 
-#: Characters of text that a sample holds at most, so that very long texts cannot fill the driver.
-SAMPLE_CHARACTERS = 30_000_000
+#: Characters of text that the sample of one class holds at most, so that very long texts cannot
+#: fill the driver; a text that would exceed it is passed over and the next ones are tried.
+SAMPLE_CHARACTERS = 15_000_000
 
 
 def held_out(divisor: int, value: int):
@@ -23,7 +24,8 @@ def labelled_sample(
 
     Rows of the held-out fold, without an id or without a label of 0 or 1 are left out; of
     the rest the first by hash of doc_id are taken. An id labelled twice counts by its larger
-    label, a document that occurs twice counts once.
+    label; of an id's rows one is kept, on the executors, by the smallest text. Each class has
+    its own bound of ``SAMPLE_CHARACTERS``, so long texts of one class leave the other whole.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(*fold))
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -34,12 +36,13 @@ def labelled_sample(
         picked = part if picked is None else picked.unionByName(part)
     # At most the sum of ``per_class`` rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    texts, marks, seen, held = [], [], set(), 0
-    for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
-        if row.doc_id in seen or held > SAMPLE_CHARACTERS:
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    texts, marks, held = [], [], dict.fromkeys(per_class, 0)
+    for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        size = len(row.text or "")
+        if held[row.label] + size > SAMPLE_CHARACTERS:
             continue
-        seen.add(row.doc_id)
         texts.append(row.text)
         marks.append(row.label)
-        held += len(row.text or "")
+        held[row.label] += size
     return texts, marks
