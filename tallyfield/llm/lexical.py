@@ -41,7 +41,7 @@ TOP = 10
 PIECE_POSTINGS = 30_000
 PIECE_DOCS = 4_096
 #: Strata that are open at a time, in the order of their bounds.
-OPEN_STRATA = 32
+OPEN_STRATA = 16
 #: Range partitions of an index to one of a shuffle; the last ones hold the longest documents.
 FINER = 4
 #: Bytes of distinct query terms that are searched for together.

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are cut at once; a single longer text is cut alone.
-CUT_BYTES = 8_000_000
+CUT_BYTES = 2_000_000
 
 #: Word bytes to their lower-case form, all others to zero.
 _FOLD = np.zeros(256, dtype=np.uint8)
