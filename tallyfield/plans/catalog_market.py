@@ -77,9 +77,29 @@ def union_schema_drift(spark, sf):
 
 @query
 def build_file_manifest(spark, sf):
+    """Files of a season dataset, written as a manifest and loaded by its hash; a row per season.
+
+    ``whole`` tells that the bytes read are those of the files, ``reproduced`` that a second
+    reading in smaller ranges gives the same digests and hash.
+    """
     root, _ = _landed(spark, sf)
-    manifest = season_files.file_manifest(spark, root, ["player_stats"])
-    return manifest.groupBy("dataset", "season").agg(F.sum("rows").alias("rows"))
+    where = fresh_dir(spark, "manifest")
+    season_files.write_manifest(season_files.file_manifest(spark, root, ["player_stats"]), where)
+    manifest = season_files.load_manifest(spark, where)
+    cut = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        ranges = materialize(season_files.range_digests(spark, root))
+        again = season_files.file_digests(ranges).select(F.col("digest").alias("_again"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+    read = ranges.groupBy("file").agg(F.sum("bytes").alias("_read"), F.max("file_bytes").alias("_size"))
+    whole = read.select(F.regexp_extract("file", r"season=(\d+)", 1).cast("int").alias("season"), (F.col("_read") - F.col("_size")).alias("_off"))
+    files = manifest.join(again.distinct(), F.col("digest") == F.col("_again"), "left")
+    seasons = files.groupBy("dataset", "season").agg(
+        F.sum("rows").alias("rows"), F.array_join(F.first("columns"), ";").alias("columns"), F.bool_and(F.col("_again").isNotNull()).alias("reproduced")
+    )
+    return seasons.join(whole.groupBy("season").agg(F.bool_and(F.col("_off").isin(0, 1)).alias("whole")), "season")
 
 
 @query

@@ -16,7 +16,9 @@ M["read_csv_inferred"] = f"""WITH {GAMES}, {SCHEDULE} SELECT season, week, game_
   FROM schedule WHERE season IN (1973, 1974)"""
 M["union_schema_drift"] = f"""WITH {GAMES} SELECT player_id, season, week, team AS recent_team, receptions,
   CASE WHEN season > 1973 THEN targets END AS targets FROM games"""
-M["build_file_manifest"] = f"WITH {GAMES} SELECT 'player_stats' AS dataset, season, count(*) AS rows FROM games GROUP BY ALL"
+M["build_file_manifest"] = f"""WITH {GAMES} SELECT 'player_stats' AS dataset, season, count(*) AS rows, true AS reproduced, true AS whole,
+  'week;season_type;player_id;player_display_name;position;recent_team;receptions;targets;receiving_yards;attempts;completions;season' AS columns
+  FROM games GROUP BY ALL"""
 M["verify_manifest"] = "SELECT 'player_stats' AS dataset, 1974 AS season"
 
 OFFERS = f"""{QUOTES}, offers AS (

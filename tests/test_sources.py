@@ -36,6 +36,49 @@ def test_cache_first_fetch_and_manifest(spark, tmp_path):
     assert season_files.read_seasons(spark, root, "player_stats", [2021]).count() == 2
 
 
+def test_a_changed_byte_is_found_wherever_the_file_is_cut(spark, tmp_path):
+    rows = spark.range(40_000).select((F.col("id") % 2 + 2021).alias("season"), F.md5(F.col("id").cast("string")).alias("text"))
+    rows.coalesce(1).write.partitionBy("season").parquet(str(tmp_path / "stats"))
+    path, key = str(tmp_path / "stats"), "spark.sql.files.maxPartitionBytes"
+    before, seen = spark.conf.get(key), []
+    file = sorted((tmp_path / "stats" / "season=2022").glob("*.parquet"))[0]
+    try:
+        for size in ("64m", "20k", "7001"):
+            spark.conf.set(key, size)
+            ranges = season_files.range_digests(spark, path)
+            seen.append((ranges.count(), {r.file: r.digest for r in season_files.file_digests(ranges).collect()}))
+        kept = spark.createDataFrame(ranges.collect(), ranges.schema)
+        raw = bytearray(file.read_bytes())
+        raw[300_000] ^= 1
+        file.write_bytes(bytes(raw))
+        (file.parent / f".{file.name}.crc").unlink()
+        changed = season_files.changed_ranges(kept, season_files.range_digests(spark, path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert seen[0][1] == seen[1][1] == seen[2][1] and seen[0][0] < seen[1][0] < seen[2][0]
+    assert len(changed) == 1 and 300_000 - 2 * 7001 < changed[0].start <= 300_000
+
+
+def test_manifest_hash_guards_the_rows(spark, tmp_path):
+    root = str(tmp_path / "root")
+    season_files.fetch(spark, root, "player_stats", [2021, 2022], loader(spark, []))
+    manifest = season_files.file_manifest(spark, root, ["player_stats"])
+    season_files.write_manifest(manifest, str(tmp_path / "one"))
+    season_files.write_manifest(season_files.file_manifest(spark, root, ["player_stats"]).repartition(3), str(tmp_path / "two"))
+    hashes = [spark.read.json(str(tmp_path / k / "hash")).first().manifest_hash for k in ("one", "two")]
+    assert hashes[0] == hashes[1]
+    loaded = season_files.load_manifest(spark, str(tmp_path / "one"))
+    assert {r.season: r.rows for r in loaded.groupBy("season").agg(F.sum("rows").alias("rows")).collect()} == {2021: 2, 2022: 2}
+    assert all(r.path.startswith("player_stats/season=") and len(r.digest) == 64 and "yards" not in r.path for r in loaded.collect())
+    loaded.withColumn("rows", F.col("rows") + 1).write.parquet(str(tmp_path / "forged"))
+    import shutil
+
+    shutil.copytree(tmp_path / "one" / "hash", tmp_path / "bad" / "hash")
+    shutil.copytree(tmp_path / "forged", tmp_path / "bad" / "files")
+    with pytest.raises(ContractError):
+        season_files.load_manifest(spark, str(tmp_path / "bad"))
+
+
 def test_fetch_rejects_bad_input(spark, tmp_path):
     with pytest.raises(ContractError):
         season_files.fetch(spark, str(tmp_path), "player_stats", [1900], loader(spark, []))
