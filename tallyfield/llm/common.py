@@ -21,7 +21,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Runtime options of the library, and Arrow batches that stay small with long texts."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark
 
 

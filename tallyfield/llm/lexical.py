@@ -38,8 +38,8 @@ from tallyfield.llm.prefix import prefix_sums, range_parts
 #: Results per query.
 TOP = 10
 #: Postings and documents after which a piece of a stratum is closed.
-PIECE_POSTINGS = 30_000
-PIECE_DOCS = 4_096
+PIECE_POSTINGS = 20_000
+PIECE_DOCS = 4_096  # below 65,536, as ordinals take 16 bits
 #: Strata that are open at a time, in the order of their bounds.
 OPEN_STRATA = 16
 #: Range partitions of an index to one of a shuffle; the last ones hold the longest documents.
@@ -49,9 +49,9 @@ BLOCK_BYTES = 1_000_000
 
 _COUNTED = "doc_id bigint, n bigint, words binary, tfs binary"
 _INDEX = (
-    "m bigint, doc_ids array<bigint>, terms binary, term_runs binary, run_tfs binary, run_ends binary, docs binary"
+    "m bigint, doc_ids array<bigint>, terms binary, term_runs binary, run_tfs binary, run_sizes binary, docs binary"
 )
-_INDEX_NAMES = ["m", "doc_ids", "terms", "term_runs", "run_tfs", "run_ends", "docs"]
+_INDEX_NAMES = ["m", "doc_ids", "terms", "term_runs", "run_tfs", "run_sizes", "docs"]
 _INDEX_TYPES = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
 
 
@@ -87,16 +87,17 @@ def _stratum(m: int, ids: list, words: list[bytes], tfs: list[bytes]) -> pa.Reco
     """One row of the index from documents of equal ``m``."""
     each = np.array([len(t) // 4 for t in tfs])
     tf = np.frombuffer(b"".join(tfs), dtype="<i4")
-    doc = np.repeat(np.arange(len(ids), dtype="<i4"), each)
+    doc = np.repeat(np.arange(len(ids), dtype="<u2"), each)
     coded = pa.array(b" ".join(words).split(b" "), pa.binary()).dictionary_encode()
     term = coded.indices.to_numpy()
     order = np.lexsort((doc, -tf, term))
     term, tf, doc = term[order], tf[order], doc[order]
     opens = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (tf[1:] != tf[:-1])]))
-    run_ends = np.append(opens[1:], len(term)).astype("<i4")
-    term_runs = np.searchsorted(term[opens], np.arange(len(coded.dictionary)), side="right").astype("<i4")
+    # A term has a run for each of its tfs and a run a posting for each document: both fit 16 bits.
+    run_sizes = np.diff(np.append(opens, len(term))).astype("<u2")
+    term_runs = np.bincount(term[opens], minlength=len(coded.dictionary)).astype("<u2")
     lexicon = b" ".join(coded.dictionary.to_pylist())
-    row = [[m], [ids], [lexicon], [term_runs.tobytes()], [tf[opens].tobytes()], [run_ends.tobytes()], [doc.tobytes()]]
+    row = [[m], [ids], [lexicon], [term_runs.tobytes()], [tf[opens].tobytes()], [run_sizes.tobytes()], [doc.tobytes()]]
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _INDEX_TYPES, strict=True)], names=_INDEX_NAMES)
 
 
@@ -187,6 +188,11 @@ def _ints(raw: pa.Scalar, kind: str = "<i4") -> np.ndarray:
     return np.frombuffer(raw.as_buffer(), dtype=kind).astype(np.int64)
 
 
+def _ends(raw: pa.Scalar) -> np.ndarray:
+    """Running sums of 16-bit sizes, from zero."""
+    return np.concatenate([[0], np.cumsum(_ints(raw, "<u2"))])
+
+
 def _lexicons(batch: pa.RecordBatch, vocabulary: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For every stratum the places of the block's terms in its lexicon, and their numbers."""
     lists = pc.split_pattern(batch.column("terms"), b" ")
@@ -211,10 +217,10 @@ def _document_counts(block: Broadcast, name: str):
         held, vocabulary = _shared(name, block)
         total = np.zeros(len(held.vocabulary), dtype=np.int64)
         for batch in _slices(batches):
-            columns = zip(batch.column("term_runs"), batch.column("run_ends"), _lexicons(batch, vocabulary), strict=True)
-            for runs, ends, (here, terms_here) in columns:
-                upto = np.concatenate([[0], _ints(ends)[_ints(runs) - 1]])
-                total[terms_here] += np.diff(upto)[here]
+            columns = zip(batch.column("term_runs"), batch.column("run_sizes"), _lexicons(batch, vocabulary), strict=True)
+            for runs, sizes, (here, terms_here) in columns:
+                ends = _ends(sizes)[_ends(runs)]
+                total[terms_here] += np.diff(ends)[here]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "df"])
 
@@ -225,8 +231,7 @@ class _Stratum:
     """One row of the index, opened for a block of queries."""
 
     def __init__(self, row: dict, here: np.ndarray, numbers: np.ndarray, block: Block):
-        runs = np.concatenate([[0], _ints(row["term_runs"])])
-        ends = np.concatenate([[0], _ints(row["run_ends"])])
+        runs, ends = _ends(row["term_runs"]), _ends(row["run_sizes"])
         self.row, self.runs, self.ends, self.m = row, runs, ends, row["m"].as_py()
         tfs = _ints(row["run_tfs"])
         # An impact is computed once for each tf of the stratum.
@@ -244,7 +249,7 @@ class _Stratum:
     def scores(self, block: Block, q: int) -> np.ndarray:
         """Scores of all documents of the stratum for one query."""
         if self._docs is None:
-            self._docs = _ints(self.row["docs"])
+            self._docs = _ints(self.row["docs"], "<u2")
             self._size = len(self.row["doc_ids"].values)
         part = slice(block.bounds[q], block.bounds[q + 1])
         numbers, counts = block.places[part], block.counts[part]
@@ -346,7 +351,7 @@ def _search_block(index: Index, rows: list) -> DataFrame:
     spark, strata = index.strata.df.sparkSession, index.strata.df
     block = _block(rows)
     shared = spark.sparkContext.broadcast(block)
-    counted = strata.select("terms", "term_runs", "run_ends").mapInArrow(_document_counts(shared, block.name), "term bigint, df bigint")
+    counted = strata.select("terms", "term_runs", "run_sizes").mapInArrow(_document_counts(shared, block.name), "term bigint, df bigint")
     df = np.zeros(len(block.vocabulary), dtype=np.int64)
     for row in counted.groupBy("term").agg(F.sum("df").alias("df")).collect():  # one row per term of the block
         df[row.term] = row.df

@@ -2,6 +2,7 @@ import math
 import random
 import re
 from collections import Counter
+from itertools import accumulate
 
 from tallyfield.llm import lexical
 from tallyfield.llm.queries import QUERIES
@@ -90,6 +91,7 @@ def test_impacts_bound_a_stratum(spark):
     frame = spark.createDataFrame(list(enumerate(invented(rng, 80))), "doc_id long, text string")
     index = lexical.build_index(frame)
     for row in index.strata.df.collect():
-        runs, tfs = memoryview(row.term_runs).cast("i"), memoryview(row.run_tfs).cast("i")
-        for first, last in zip([0, *runs[:-1]], runs, strict=True):
+        runs, tfs = list(accumulate(memoryview(row.term_runs).cast("H"), initial=0)), memoryview(row.run_tfs).cast("i")
+        assert runs[-1] == len(tfs) == len(memoryview(row.run_sizes).cast("H"))
+        for first, last in zip(runs[:-1], runs[1:], strict=True):
             assert list(tfs[first:last]) == sorted(set(tfs[first:last]), reverse=True)
