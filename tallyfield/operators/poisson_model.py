@@ -241,6 +241,36 @@ def predict_poisson(rows: DataFrame, models: DataFrame, config: PoissonConfig =
     )
 
 
+def optimality(rows: DataFrame, models: DataFrame, config: PoissonConfig = PoissonConfig(), window: str = "window_id") -> DataFrame:
+    """Certificate of a fit: per window and term the penalised gradient and curvature at the model.
+
+    The objective is convex, so a zero gradient with positive curvature says that the stored
+    coefficients are the optimum, whoever found them. One aggregation over the training rows.
+    """
+    predicted = predict_poisson(rows, models, config, window)
+    facts = models.select(F.col("window_id").alias("_w"), "feature_means", "feature_scales", "coefficients")
+    joined = predicted.join(F.broadcast(facts), F.col(window).cast("string") == F.col("_w"))  # one row per window
+    residual, entries = F.col(config.target) - F.col("learned"), []
+    for i, name in enumerate(("intercept", *config.features)):
+        z = F.lit(1.0) if i == 0 else (F.col(name).cast("double") - F.col("feature_means")[i - 1]) / F.col("feature_scales")[i - 1]
+        penalty, beta = (F.lit(0.0), F.lit(0.0)) if i == 0 else (F.lit(config.l2_penalty), F.col("coefficients")[i - 1])
+        mean, scale = (F.lit(0.0), F.lit(1.0)) if i == 0 else (F.col("feature_means")[i - 1], F.col("feature_scales")[i - 1])
+        entries.append(
+            F.struct(
+                F.lit(name).alias("term"), (z * residual).alias("g"), (z * z * F.col("learned")).alias("h"),
+                (penalty * beta).alias("p"), penalty.alias("ridge"), mean.alias("mean"), scale.alias("scale"),
+            )
+        )
+    terms = joined.select(F.col("_w").alias("window_id"), F.inline(F.array(*entries)))
+    return terms.groupBy("window_id", "term").agg(
+        F.count("*").alias("training_rows"),
+        F.first("mean").alias("mean"),
+        F.first("scale").alias("scale"),
+        (F.sum("g") - F.first("p")).alias("gradient"),
+        (F.sum("h") + F.first("ridge")).alias("curvature"),
+    )
+
+
 def raw_coefficients(models: DataFrame) -> DataFrame:
     """One row per window and feature: standardised and raw-scale coefficient."""
     zipped = F.arrays_zip("features", "coefficients", "feature_scales")

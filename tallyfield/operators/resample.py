@@ -2,9 +2,10 @@
 
 Rows are hashed into blocks of bounded size by their unique key. How often an iteration
 draws from each block follows the exact multinomial law: binomial splits down a binary
-tree over the blocks, seeded by tree node, so every task derives the same counts. Each
-block then draws its own rows with NumPy and returns sums per iteration; only
-``blocks x iterations`` small rows are shuffled.
+tree over the block numbers. The tree's totals are a table, one level to a join, and each
+block carries only its own path, so its task derives its draws from the path and the tree
+nodes' seeds; the driver knows the number of rows. Each block then draws its own rows with
+NumPy and returns sums per iteration; only ``blocks x iterations`` small rows are shuffled.
 """
 
 from __future__ import annotations
@@ -17,45 +18,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.operators.evaluation import DEVIANCE_EPSILON, deviance_term
-from tallyfield.session import with_one_row
+from tallyfield.session import materialize, with_one_row
 
 # Default protocol.
 ITERATIONS, SEED, CONFIDENCE = 10_000, 50_000, 0.95
 
 
-def _block_draws(starts: np.ndarray, block: int, iterations: int, seed: int) -> np.ndarray:
-    """Number of draws each iteration makes in ``block``; ``starts`` are cumulative sizes."""
-    low, high, node = 0, len(starts) - 1, 1
-    draws = np.full(iterations, starts[-1], dtype=np.int64)
-    while high - low > 1:
-        middle = (low + high) // 2
-        whole, left = starts[high] - starts[low], starts[middle] - starts[low]
-        generator = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 0, node])))
-        in_left = generator.binomial(draws, left / whole if whole else 0.0)
-        if block < middle:
-            draws, high, node = in_left, middle, 2 * node
-        else:
-            draws, low, node = draws - in_left, middle, 2 * node + 1
+def _draws(path: list[dict], total: int, iterations: int, seed: int) -> np.ndarray:
+    """Number of draws that each iteration makes in the block at the end of ``path``."""
+    draws = np.full(iterations, total, dtype=np.int64)
+    for step in path:
+        generator = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 0, step["node"]])))
+        in_left = generator.binomial(draws, step["left"] / step["whole"])
+        draws = in_left if step["goes_left"] else draws - in_left
     return draws
 
 
+def block_paths(sizes: DataFrame, blocks: int) -> DataFrame:
+    """``_block`` and its ``path``: at each tree node above it the node's number, rows and rows on the left.
+
+    ``sizes`` has one row per block that holds rows. A level's totals are an aggregate of it,
+    so every join here is as small as the list of blocks.
+    """
+    depth = (blocks - 1).bit_length()
+    step = "struct<node:bigint,whole:bigint,left:bigint,goes_left:boolean>"
+    paths = sizes.select("_block", F.array().cast(f"array<{step}>").alias("path"))
+    for level in range(depth):
+        below = depth - level - 1
+        left = F.shiftright("_block", below).bitwiseAND(F.lit(1)) == 0
+        node = F.shiftright("_block", below + 1)
+        totals = sizes.groupBy(node.alias("_node")).agg(
+            F.sum("size").alias("_whole"), F.coalesce(F.sum(F.when(left, F.col("size"))), F.lit(0)).alias("_left")
+        )
+        taken = F.struct(
+            (F.col("_node") + F.lit(1 << level)).cast("bigint").alias("node"),
+            F.col("_whole").alias("whole"),
+            F.col("_left").alias("left"),
+            left.alias("goes_left"),
+        )
+        joined = paths.withColumn("_node", node).join(totals, "_node")
+        paths = joined.select("_block", F.array_append("path", taken).cast(f"array<{step}>").alias("path"))
+    return paths
+
+
 def resampled_sums(
     rows: DataFrame, keys: list[str], values: dict[str, Column], iterations: int, seed: int, rows_per_block: int = 50_000
 ) -> DataFrame:
     """Per iteration: number of draws and the sums of ``values`` over the drawn rows."""
     names = list(values)
     base = rows.select(*keys, *[v.cast("double").alias(n) for n, v in values.items()])
-    blocks = max(1, ceil(base.count() / rows_per_block))
+    total = base.count()
+    blocks = max(1, ceil(total / rows_per_block))
     base = base.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    sizes = np.zeros(blocks + 1, dtype=np.int64)
-    for block, size in base.groupBy("_block").count().collect():  # one integer per block
-        sizes[block + 1] = size
-    starts = np.cumsum(sizes)
+    sizes = materialize(base.groupBy("_block").agg(F.count("*").alias("size")))
+    paths = materialize(block_paths(sizes, blocks))
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["_block"].iloc[0])
         table = pdf.sort_values(keys)[names].to_numpy()
-        counts = _block_draws(starts, block, iterations, seed)
+        counts = _draws(list(path["path"].iloc[0]), total, iterations, seed)
         generator = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, 1, block])))
         sums = np.empty((iterations, len(names)))
         for i in range(iterations):
@@ -67,7 +88,7 @@ def resampled_sums(
         return out
 
     schema = "iteration int, _draws long, " + ", ".join(f"{n} double" for n in names)
-    partial = base.groupBy("_block").applyInPandas(draw, schema)
+    partial = base.groupBy("_block").cogroup(paths.groupBy("_block")).applyInPandas(draw, schema)
     return partial.groupBy("iteration").agg(F.sum("_draws").alias("draws"), *[F.sum(n).alias(n) for n in names])
 
 

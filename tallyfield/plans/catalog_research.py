@@ -460,18 +460,39 @@ def _pairs(spark, sf):
     return materialize(evaluate._pivot_predictions(ev.shared_cohort(held_out(spark, sf))))
 
 
+def _without_draws(intervals: DataFrame, *columns) -> DataFrame:
+    """What a bootstrap table says whatever was drawn, and whether its intervals hold the differences."""
+    covers = F.col("difference").between(F.col("confidence_lower"), F.col("confidence_upper"))
+    return intervals.select(*columns, "sample_count", "iterations", covers.alias("covers"))
+
+
 @query
 def paired_mae_bootstrap(spark, sf):
-    return resample.paired_mae_bootstrap(
-        _pairs(spark, sf), KEY, "league_mean", ["poisson", "rolling_5"]
-    )
+    rows = resample.paired_mae_bootstrap(_pairs(spark, sf), KEY, "league_mean", ["poisson", "rolling_5"])
+    return rounded(_without_draws(rows, "candidate", "difference", "effect_size"), "difference", "effect_size")
 
 
 @query
 def paired_metric_bootstrap(spark, sf):
-    return resample.paired_metric_bootstrap(
-        _pairs(spark, sf), KEY, "league_mean", "poisson"
-    )
+    rows = resample.paired_metric_bootstrap(_pairs(spark, sf), KEY, "league_mean", "poisson")
+    return rounded(_without_draws(rows, "metric", "difference"), "difference")
+
+
+@query
+def bootstrap_constant_gain(spark, sf):
+    """A candidate that is better by a quarter on every row: both ends of its interval are a quarter."""
+    off = F.abs(F.col("league_mean") - F.col("actual"))
+    pairs = _pairs(spark, sf).select(*KEY, "actual", (F.col("actual") + off).alias("near"), (F.col("actual") + off + 0.25).alias("far"))
+    rows = resample.paired_mae_bootstrap(pairs, KEY, "far", "near", rows_per_block=300)
+    columns = ["candidate", "difference", "confidence_lower", "confidence_upper", "sample_count", "statistically_significant_improvement"]
+    return rounded(rows.select(*columns), "difference", "confidence_lower", "confidence_upper")
+
+
+@query
+def bootstrap_draws(spark, sf):
+    """Draws of 200 iterations over many blocks: every iteration draws as many rows as there are."""
+    sums = resample.resampled_sums(_pairs(spark, sf), KEY, {"one": F.lit(1.0)}, 200, resample.SEED, rows_per_block=100)
+    return sums.select("iteration", "draws", "one")
 
 
 @query
@@ -494,33 +515,72 @@ def _windows(spark, sf):
     return ev.complete_cases(tagged, config.features)
 
 
+def _fitted(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Complete rows of all windows, and the model that was fitted in each."""
+    rows = materialize(_windows(spark, sf))
+    return rows, materialize(pm.fit_poisson(rows.filter("role = 'training'")))
+
+
 @query
 def fit_poisson(spark, sf):
-    return pm.fit_poisson(_windows(spark, sf).filter("role = 'training'"))
+    """Certificate that each window's coefficients are the optimum: gradient zero, curvature positive."""
+    rows, models = _fitted(spark, sf)
+    terms = pm.optimality(rows.filter("role = 'training'"), models)
+    terms = terms.select("window_id", "term", "training_rows", "mean", "scale", "gradient", (F.col("curvature") > 0).alias("curved"))
+    # Adding zero turns a rounded minus zero into zero.
+    return rounded(rounded(terms, "mean", "scale").withColumn("gradient", F.round("gradient", 4) + 0.0), "gradient")
 
 
 @query
 def model_table(spark, sf):
-    return pm.with_fingerprint(pm.fit_poisson(_windows(spark, sf).filter("role = 'training'")))
+    """Fingerprints of the stored models on load: as written, and with one coefficient altered."""
+    models = materialize(pm.with_fingerprint(_fitted(spark, sf)[1]))
+    altered = models.withColumn("intercept", F.col("intercept") + F.when(F.col("window_id") == "w2", 1e-9).otherwise(0.0))
+    cases = [
+        table.agg(F.count("*").alias("models")).select(F.lit(name).alias("case"), "models").join(
+            pm.verify_models(table).agg(F.count("*").alias("violations"), F.max("window_id").alias("window_id")), how="cross"
+        )
+        for name, table in (("stored", models), ("altered", altered))
+    ]
+    return cases[0].unionByName(cases[1])
 
 
 @query
 def predict_poisson(spark, sf):
-    rows = materialize(_windows(spark, sf))
-    models = pm.fit_poisson(rows.filter("role = 'training'"))
-    return pm.predict_poisson(rows.filter("role = 'held_out'"), models).select("window_id", *KEY, "learned")
+    """Expected counts add up to the counts of the training rows in every window, as the intercept is free."""
+    rows, models = _fitted(spark, sf)
+    predicted = pm.predict_poisson(rows, models)
+    totals = predicted.groupBy("window_id", "role").agg(
+        F.count("*").alias("rows"),
+        F.round(F.sum(F.when(F.col("role") == "training", F.col("learned"))), 3).alias("training_total"),
+        F.bool_and(F.col("learned") > 0).alias("positive"),
+    )
+    return totals
 
 
 @query
 def raw_coefficients(spark, sf):
-    return pm.raw_coefficients(pm.fit_poisson(_windows(spark, sf).filter("role = 'training'")))
+    """Raw and standardised coefficients tell the same slope on the scale of the training rows."""
+    _, models = _fitted(spark, sf)
+    scales = models.select("window_id", F.posexplode("feature_scales").alias("position", "scale"))
+    rows = pm.raw_coefficients(models).join(scales, ["window_id", "position"])
+    same = F.abs(F.col("raw_scale") * F.col("scale") - F.col("standardized")) < 1e-12
+    return rounded(rows.select("window_id", "position", "feature_name", "scale", same.alias("same_slope")), "scale")
 
 
 @query
 def coefficient_stability(spark, sf):
-    models = pm.fit_poisson(_windows(spark, sf).filter("role = 'training'"))
+    """Spread of the coefficients over the windows, as relations that hold for any fit."""
+    _, models = _fitted(spark, sf)
     order = F.substring("window_id", 2, 1).cast("int").alias("window_order")
-    return ev.coefficient_stability(pm.raw_coefficients(models).withColumn("window_order", order))
+    rows = ev.coefficient_stability(pm.raw_coefficients(models).withColumn("window_order", order))
+    ok = F.lit(True)
+    for c in ("standardized", "raw_scale"):
+        low, high, mean = (F.col(f"{c}_{n}") for n in ("minimum", "maximum", "mean"))
+        ok &= (low <= mean + 1e-12) & (mean <= high + 1e-12) & (F.col(f"{c}_range") == high - low)
+    crosses = (F.col("standardized_minimum") < 0) & (F.col("standardized_maximum") > 0)
+    ok &= (F.col("sign_change_count") > 0) == crosses
+    return rows.select("feature_name", "window_count", ok.alias("consistent"))
 
 
 def _baselines(spark, sf) -> dict[str, DataFrame]:
@@ -552,14 +612,12 @@ def evaluate_rolling(spark, sf):
 
 @query
 def cohort_alignment(spark, sf):
-    return _rolling(spark, sf)["aligned"]
+    rows = _rolling(spark, sf)["aligned"]
+    return rounded(rows.select(*KEY, "window_id", "actual", "baseline", (F.col("learned") > 0).alias("has_learned")), "baseline")
 
 
 #: The other result tables of the three evaluations, each a query of its own.
 EVALUATION_TABLES = {
-    "baseline_comparisons": (_baselines, "comparisons"),
-    "baseline_largest_errors": (_baselines, "largest_errors"),
-    "baseline_decision": (_baselines, "decision"),
     "learned_comparison": (_learned, "comparison"),
     "learned_metrics": (_learned, "metrics"),
     "rolling_pooled_metrics": (_rolling, "pooled_metrics"),
@@ -573,6 +631,23 @@ for _name, (_evaluate, _table) in EVALUATION_TABLES.items():
     query(lambda spark, sf, run=_evaluate, table=_table: run(spark, sf)[table], _name)
 
 
+@query
+def baseline_comparisons(spark, sf):
+    rows = _baselines(spark, sf)["comparisons"]
+    kept = rows.select("reference", "candidate", "difference", "effect_size", "sample_count", "iterations")
+    return rounded(kept, "difference", "effect_size")
+
+
+@query
+def baseline_largest_errors(spark, sf):
+    return rounded(_baselines(spark, sf)["largest_errors"], "prediction", "error")
+
+
+@query
+def baseline_decision(spark, sf):
+    return _baselines(spark, sf)["decision"]
+
+
 @query
 def write_scorecard(spark, sf):
     path = datasets.write_scorecard(_baselines(spark, sf), f"{shared_dir(spark)}/scorecards")

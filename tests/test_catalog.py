@@ -12,16 +12,8 @@ from tallyfield.session import ROWS_PER_TASK
 ROWS_ONLY = {
     "digest_table",
     "payload_hash",
-    "paired_mae_bootstrap",
-    "paired_metric_bootstrap",
-    "fit_poisson",
-    "model_table",
-    "predict_poisson",
-    "raw_coefficients",
-    "coefficient_stability",
     "evaluate_learned",
     "evaluate_rolling",
-    "cohort_alignment",
     "write_scorecard",
     *EVALUATION_TABLES,
 }
