@@ -422,3 +422,24 @@ R["baseline_comparisons"] = f"""WITH {STRONGEST}, best AS (SELECT mae AS m, stro
   FROM metrics, best WHERE baseline <> b"""
 R["baseline_largest_errors"] = R["largest_errors"]
 R["baseline_decision"] = f"WITH {STRONGEST} SELECT 'RESEARCH' AS decision, strongest_baseline FROM strongest"
+
+_counted = {
+    "baselines": {
+        "metrics": R["evaluate_baselines"], "calibration": 70, "comparisons": 6, "segments": 9, "bias": R["group_bias"],
+        "largest_errors": R["largest_errors"], "missing_features": len(_names), "decision": 1,
+    },
+    "learned": {
+        "models": 1, "metrics": 8, "comparison": 1, "gates": 1,
+        "aligned": f"""WITH {COHORT} SELECT DISTINCT source_player_id, game_id FROM shared
+                       WHERE receptions_roll3 IS NOT NULL AND targets_roll3 IS NOT NULL""",
+    },
+    "rolling": {
+        "models": 3, "window_metrics": 6, "pooled_metrics": 2, "window_differences": 12, "pooled_differences": 4, "residuals": 6, "bias": 3,
+        "intervals": 4, "stability": 4, "aligned": R["cohort_alignment"],
+    },
+}
+R["write_scorecard"] = " UNION ALL ".join(
+    f"SELECT '{card}' AS scorecard, '{table}' AS \"table\", {n if isinstance(n, int) else f'(SELECT count(*) FROM ({n}))'} AS rows"
+    for card, tables in _counted.items()
+    for table, n in tables.items()
+)

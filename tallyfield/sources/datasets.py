@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,9 +85,51 @@ def check_input_identity(rows: DataFrame, expected_digest: str, expected_registr
         raise quality.ContractError("the feature registry differs from the recorded one")
 
 
+#: Name of the table that ends a version: which tables belong to it, their rows and digests.
+MARKER = "_commit"
+
+
 def write_scorecard(tables: dict[str, DataFrame], root: str) -> str:
-    """One JSON document set per result table of an evaluation, in a new version directory."""
+    """Publish all result tables of an evaluation together, as JSON in a new version directory.
+
+    The marker is written last, from what the tables read back as. Readers go by the marker, so
+    they see all tables of a version or none of it, also when a writer is lost between two.
+    """
     path = f"{root.rstrip('/')}/version={uuid.uuid4().hex}"
+    facts = []
     for name, table in tables.items():
         table.select(*sorted(table.columns)).write.json(f"{path}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    for name in tables:
+        stored = table_digest(spark.read.json(f"{path}/{name}"))
+        facts.append(stored.select(F.lit(name).alias("table"), "rows", "digest"))
+    marker = reduce(DataFrame.unionByName, facts).withColumn("written_at", F.current_timestamp())
+    marker.coalesce(1).write.json(f"{path}/{MARKER}")
     return path
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the markers of all versions under ``root`` that were published whole, with their path."""
+    schema = "`table` string, rows long, digest string, written_at timestamp"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/version=*/{MARKER}/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    paths = [s.getPath().getParent().toString() for s in found]
+    if not paths:
+        return spark.createDataFrame([], f"{schema}, path string")
+    marked = spark.read.schema(schema).json(paths)
+    return marked.withColumn("path", F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), f"^(.*)/{MARKER}/", 1))
+
+
+def read_scorecard(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All tables of one published version; an error without a marker or where a table differs from it."""
+    try:
+        marker = spark.read.json(f"{path}/{MARKER}").collect()  # one row per table
+    except AnalysisException as error:
+        raise quality.ContractError(f"{path} was not published") from error
+    tables = {}
+    for entry in marker:
+        tables[entry["table"]] = spark.read.json(f"{path}/{entry['table']}")
+        found = table_digest(tables[entry["table"]]).first()
+        if (found.rows, found.digest) != (entry["rows"], entry["digest"]):
+            raise quality.ContractError(f"{path}: table {entry['table']} differs from the marker")
+    return tables

@@ -14,7 +14,6 @@ ROWS_ONLY = {
     "payload_hash",
     "evaluate_learned",
     "evaluate_rolling",
-    "write_scorecard",
     *EVALUATION_TABLES,
 }
 

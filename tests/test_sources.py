@@ -136,3 +136,20 @@ def test_float_and_key_checks(spark):
     assert tuple(row) == ("v", 1, 1, 1, 1)
     reasons = {(r.k, r.reason) for r in quality.unique_key_violations(df, ["k"]).collect()}
     assert reasons == {("a", "duplicate_key"), (None, "blank_key"), (" ", "blank_key")}
+
+
+def test_a_scorecard_is_seen_whole_or_not_at_all(spark, tmp_path):
+    root = str(tmp_path / "cards")
+    tables = {"one": spark.createDataFrame([(1, "a")], "x int, y string"), "two": spark.range(3)}
+    path = datasets.write_scorecard(tables, root)
+    tables["one"].write.json(f"{root}/version=lost/one")  # a writer that was lost before its marker
+    listed = datasets.published(spark, root)
+    assert {(r.table, r.rows) for r in listed.collect()} == {("one", 1), ("two", 3)}
+    assert {r.path.removeprefix("file:").replace("//", "/") for r in listed.collect()} == {path}
+    assert sorted(r.id for r in datasets.read_scorecard(spark, path)["two"].collect()) == [0, 1, 2]
+    with pytest.raises(ContractError):
+        datasets.read_scorecard(spark, f"{root}/version=lost")
+    spark.range(1).write.mode("append").json(f"{path}/two")
+    with pytest.raises(ContractError):
+        datasets.read_scorecard(spark, path)
+    assert datasets.published(spark, str(tmp_path / "nothing")).count() == 0
