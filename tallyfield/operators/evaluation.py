@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.poisson import over_fixed_line
-from tallyfield.operators.scan import exact_quantiles, ordered, running
+from tallyfield.operators.scan import exact_quantiles, ordered, running, wide_medians
 from tallyfield.session import with_one_row
 
 KEY = ["source_player_id", "game_id"]
@@ -391,21 +391,34 @@ def history_tier(games: Column) -> Column:
 
 
 def audit_features(rows: DataFrame, features) -> DataFrame:
-    """Per feature: missing rate, extremes, mean, exact median and first game with a value."""
+    """Per feature: missing rate, extremes, mean, exact median and first game with a value.
+
+    All features are columns of one-row aggregates, so no row is copied.
+    """
     features = list(features)
-    entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features]
-    long = rows.select("kickoff", *KEY, F.inline(F.array(*entries)))
-    present = F.col("value").isNotNull()
-    order = F.when(present, F.struct("kickoff", "game_id", "source_player_id"))
-    facts = long.groupBy("feature").agg(
-        F.avg((~present).cast("double")).alias("null_rate"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.min(order)["game_id"].alias("first_available_game"),
-    )
-    medians = exact_quantiles(long, ["feature"], "value", {"median": 0.5})
-    return facts.join(medians, "feature", "left").withColumn("leakage_status", F.lit("NOT_RUN"))
+    medians, facts = wide_medians(rows, features), []
+    for i, c in enumerate(features):
+        value = F.col(c).cast("double")
+        first = F.min(F.when(value.isNotNull(), F.struct("kickoff", "game_id", "source_player_id")))
+        facts.append(
+            F.struct(
+                F.avg(value.isNull().cast("double")).alias("null_rate"),
+                F.min(value).alias("min"),
+                F.max(value).alias("max"),
+                F.avg(value).alias("mean"),
+                first["game_id"].alias("first_available_game"),
+            ).alias(f"_f{i}")
+        )
+    wide = rows.agg(*facts)
+    entries = [
+        F.struct(F.lit(c).alias("feature"), F.col(f"_f{i}").alias("f"), F.lit(medians[c]).cast("double").alias("median"))
+        for i, c in enumerate(features)
+    ]
+    return wide.select(F.inline(F.array(*entries))).select("feature", "f.*", "median", F.lit("NOT_RUN").alias("leakage_status"))
+
+
+def rows_by_season(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("season").agg(F.count("*").alias("rows"))
 
 
 def rows_by_tier(rows: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.names import book_key, normalize_name
-from tallyfield.operators.scan import look_back, ordered, with_totals
-from tallyfield.session import materialize
+from tallyfield.operators.scan import look_back, ordered, running, with_totals
+from tallyfield.session import materialize, with_one_row
 
 
 def duplicate_batches(batches: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -110,9 +110,17 @@ def star_join(quotes: DataFrame, events: DataFrame, players: DataFrame, books: D
 # --- entities -------------------------------------------------------------------------
 
 
-def new_id(text: Column) -> Column:
-    """Stable 60-bit id of a new entity from its normalised text."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def allocate_ids(names: DataFrame, taken: DataFrame) -> DataFrame:
+    """``normalized`` and ``new_id``: dense ids above the highest of ``taken`` (column ``id``).
+
+    Distinct names are numbered in their order by a scan that cuts very many of them into
+    ranges, so no two names share an id and the same inputs give the same ids again, however
+    they are partitioned. Batches that allocate have to run one after the other.
+    """
+    distinct = names.select("normalized").distinct()
+    scan = running(ordered(distinct, [], ["normalized"]), {"_n": ("count", F.lit(1))}, inclusive=True)
+    top = taken.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    return with_one_row(scan.result(), top).select("normalized", (F.col("_top") + F.col("_n")).cast("long").alias("new_id"))
 
 
 def resolve_alias(offers: DataFrame, players: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -141,10 +149,12 @@ def resolve_alias(offers: DataFrame, players: DataFrame, aliases: DataFrame) ->
         .when(F.col("_named").isNotNull(), "PLAYER_NAME")
         .otherwise("NEW")
     )
-    rows = rows.withColumn("tier", tier)
+    rows = materialize(rows.withColumn("tier", tier))
+    taken = players.select(F.col("player_id").alias("id")).unionByName(aliases.select(F.col("player_id").alias("id")))
+    rows = with_totals(rows, allocate_ids(rows.filter(F.col("tier") == "NEW"), taken), ["normalized"])
     player = (
         F.when(F.col("tier").isin("INVALID", "CONFLICT"), F.lit(None))
-        .when(F.col("tier") == "NEW", new_id(F.col("normalized")))
+        .when(F.col("tier") == "NEW", F.col("new_id"))
         .otherwise(F.coalesce("_own", "_any", "_named"))
     )
     return rows.select("provider", "raw_name", "normalized", "tier", player.cast("long").alias("player_id"))

@@ -211,3 +211,58 @@ def exact_quantiles(
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         outputs.append((low + (high - low) * (position - F.floor(position))).alias(name))
     return found.select(*groups, *outputs)
+
+
+#: Rank error of the engine's quantile sketch is one in so many.
+_ACCURACY = 10_000
+
+
+def wide_medians(rows: DataFrame, columns: Sequence[str], exact_below: int = 100_000) -> dict[str, float | None]:
+    """Exact median of every column, without a copy of a row for each of them.
+
+    Every pass is one aggregation over all columns. A quantile sketch gives each column a
+    bracket that holds its middle ranks; the next pass counts what lies below and inside. A
+    bracket of more than ``exact_below`` values is narrowed again, each time ten-thousandfold;
+    then its middle ranks are read off exactly. The driver holds a few numbers per column.
+    """
+    value = {c: F.col(c).cast("double") for c in columns}
+    margin = 2 / _ACCURACY
+    picks = [F.percentile_approx(value[c], [0.5 - margin, 0.5 + margin], _ACCURACY).alias(f"b{i}") for i, c in enumerate(columns)]
+    first = rows.agg(*[F.count(value[c]).alias(f"n{i}") for i, c in enumerate(columns)], *picks).first()
+    size = {c: first[f"n{i}"] for i, c in enumerate(columns)}
+    bracket = {c: tuple(first[f"b{i}"]) for i, c in enumerate(columns) if size[c]}
+    medians: dict[str, float | None] = {c: None for c in columns if not size[c]}
+    narrowest: set[str] = set()  # brackets that the sketch cannot narrow: a few values, often repeated
+    while bracket:
+        names = list(bracket)
+        inside = {c: F.when(value[c].between(*map(F.lit, bracket[c])), value[c]) for c in names}
+        counts = rows.agg(
+            *[F.count_if(value[c] < F.lit(bracket[c][0])).alias(f"l{i}") for i, c in enumerate(names)],
+            *[F.count(inside[c]).alias(f"n{i}") for i, c in enumerate(names)],
+        ).first()
+        asked, wider = [], {}
+        for i, c in enumerate(names):
+            low, high = bracket[c]
+            ranks = [k - counts[f"l{i}"] for k in ((size[c] - 1) // 2, size[c] // 2)]
+            held = counts[f"n{i}"]
+            if low == high:
+                medians[c] = low
+                del bracket[c]
+            elif held <= exact_below or c in narrowest:
+                asked.append(F.percentile(inside[c], [r / (held - 1) for r in ranks]).alias(c))
+                wider[c] = True
+            else:
+                slack = held // _ACCURACY + 1
+                ends = [max(0.0, (ranks[0] - slack) / held), min(1.0, (ranks[1] + 1 + slack) / held)]
+                asked.append(F.percentile_approx(inside[c], ends, _ACCURACY).alias(c))
+                wider[c] = False
+        found = rows.agg(*asked).first() if asked else {}
+        for c, done in wider.items():
+            if done:
+                medians[c] = sum(found[c]) / 2
+                del bracket[c]
+            else:
+                if tuple(found[c]) == bracket[c]:
+                    narrowest.add(c)
+                bracket[c] = tuple(found[c])
+    return medians

@@ -316,6 +316,11 @@ def audit_features(spark, sf):
     return rounded(audit, "null_rate", "min", "max", "mean", "median")
 
 
+@query
+def audit_rows_by_season(spark, sf):
+    return ev.rows_by_season(features(spark, sf))
+
+
 @query
 def history_tier(spark, sf):
     return ev.rows_by_tier(features(spark, sf))

@@ -37,7 +37,7 @@ resolved AS (
 players AS (
   SELECT n, provider, raw_name, normalized, tier,
          CASE tier WHEN 'PROVIDER_ALIAS' THEN n + 1000000 WHEN 'GLOBAL_ALIAS' THEN n + 2000000 WHEN 'PLAYER_NAME' THEN n
-              WHEN 'NEW' THEN CAST('0x' || substr(md5(normalized), 1, 15) AS BIGINT) END AS player_id
+              WHEN 'NEW' THEN (SELECT max(k.n) FROM n k WHERE k.n % 35 = 0) + 3000000 + dense_rank() OVER (PARTITION BY tier ORDER BY normalized) END AS player_id
   FROM resolved)"""
 M["resolve_alias"] = f"WITH {RESOLVED} SELECT provider, raw_name, normalized, tier, player_id FROM players"
 M["persist_offers"] = f"""WITH {RESOLVED}, f AS (

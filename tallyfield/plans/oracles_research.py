@@ -443,3 +443,4 @@ R["write_scorecard"] = " UNION ALL ".join(
     for card, tables in _counted.items()
     for table, n in tables.items()
 )
+R["audit_rows_by_season"] = f"WITH {FEATURES} SELECT season, count(*) AS rows FROM feature_table GROUP BY ALL"

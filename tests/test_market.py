@@ -87,5 +87,14 @@ def test_alias_tiers(spark):
     rows = {(r.provider, r.raw_name): r for r in feeds.resolve_alias(offers, players, aliases).collect()}
     tiers = {k[1]: r.tier for k, r in rows.items()}
     assert tiers == {"Mike Evans": "PROVIDER_ALIAS", "A.J. Brown": "GLOBAL_ALIAS", "Old Name Jr.": "PLAYER_NAME", "New Guy": "NEW", "New Guy Jr.": "NEW", "Twin": "CONFLICT", "!!": "INVALID"}
-    assert rows["p", "New Guy"].player_id == rows["q", "New Guy Jr."].player_id
+    assert rows["p", "New Guy"].player_id == rows["q", "New Guy Jr."].player_id == 10  # the highest id so far is 9
     assert rows["p", "Mike Evans"].player_id == 1 and rows["p", "Twin"].player_id is None
+
+
+def test_allocated_ids_are_dense_and_the_same_again(spark, split_groups):
+    names = spark.createDataFrame([(f"n{i % 40:02d}",) for i in range(120)], "normalized string")
+    taken = spark.createDataFrame([(5,), (41,)], "id long")
+    first = {r.normalized: r.new_id for r in feeds.allocate_ids(names, taken).collect()}
+    assert first == {f"n{i:02d}": 42 + i for i in range(40)}
+    assert {r.normalized: r.new_id for r in feeds.allocate_ids(names.repartition(7), taken).collect()} == first
+    assert [r.new_id for r in feeds.allocate_ids(names.limit(1), taken.limit(0)).collect()] == [1]

@@ -5,7 +5,7 @@ from conftest import same_rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyfield.operators.scan import exact_quantiles, look_back, ordered, running, with_totals
+from tallyfield.operators.scan import exact_quantiles, look_back, ordered, running, wide_medians, with_totals
 from tallyfield.session import ROWS_PER_TASK, materialize
 
 
@@ -104,3 +104,20 @@ def test_a_hot_key_is_split_in_a_join_with_totals(spark):
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     assert "skew=true" in plans[0] and "skew=true" not in plans[1]
+
+
+def test_wide_medians_are_exact(spark):
+    import statistics
+
+    rng = random.Random(11)
+    rows = [(i, float(rng.randint(0, 5)) if i % 7 else None, rng.gauss(0, 1), None, 3.0, float(i % 2)) for i in range(5001)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, e double")
+    for frame, n in ((df, 5001), (df.filter("id < 4"), 4), (df.filter("id = 1"), 1)):
+        want = {}
+        for k, name in enumerate("abcde", 1):
+            values = [r[k] for r in rows[:n] if r[k] is not None] if n != 1 else [rows[1][k]] if rows[1][k] is not None else []
+            want[name] = statistics.median(values) if values else None
+        for most in (100_000, 1, 40):  # 1 and 40: the brackets are narrowed, or end at one value
+            got = wide_medians(frame, list("abcde"), exact_below=max(most, 1))
+            assert {k: v if v is None else round(v, 9) for k, v in got.items()} == {k: v if v is None else round(v, 9) for k, v in want.items()}
+    assert set(wide_medians(df.filter("false"), ["a"]).values()) == {None}
