@@ -55,13 +55,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
-def _stage_root(spark: SparkSession) -> str:
+def stage_root(spark: SparkSession) -> str:
+    """Folder of all intermediate tables of this application."""
     return f"{shared_dir(spark)}/tallyfield-{spark.sparkContext.applicationId}"
 
 
 def release_stages(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; frames built on them end here."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
+    root = spark._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
     root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
@@ -72,7 +73,7 @@ def materialize(df: DataFrame) -> DataFrame:
     the same for every reader, also after an executor is lost.
     """
     spark = df.sparkSession
-    path = f"{_stage_root(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
