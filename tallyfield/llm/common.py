@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.session import configure, shared_dir
+from tallyfield.session import configure, stage_root
 
 #: Characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -49,8 +49,8 @@ class Stored:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    """A fresh place in the folder named by ``spark.checkpoint.dir``."""
-    return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    """A fresh place in the folder named by ``spark.checkpoint.dir``, which ``release_stages`` deletes."""
+    return f"{stage_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, what: str = "stage") -> Stored:

@@ -141,6 +141,12 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it (at most twice).
+
+    Null and empty texts have no words and are never taken; null ids and a null source count as
+    values of their own; repeated rows queue behind each other; an empty table gives no rows.
+    Rows of one id and one size with different texts share a place in the queue, so which of
+    them comes first may differ between runs.
+    """
     many = mix(docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))).filter("_copies > 0")
     return many.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -208,7 +208,12 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that are predicted to be of good quality."""
+    """The documents, with all their columns, that are predicted to be of good quality.
+
+    Rows are judged by their text alone, read whole; null and empty texts get the model's score
+    of an empty text. Repeated rows and null ids are kept or dropped like any other, columns of
+    any name pass unchanged, an empty table gives no rows.
+    """
     model = train(docs, labels)
     rows = docs.select(F.struct("*").alias("_row"), score_column(docs, model, F.col("text")).alias("_score"))
     return rows.filter(F.col("_score") >= THRESHOLD).select("_row.*")
