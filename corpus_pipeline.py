@@ -19,31 +19,49 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; all others stay with all their columns.
+
+    Null and empty texts stay, repeated rows and null ids are judged like any other.
+    """
     prepare(spark)
     return toxicity.keep_clean(docs, labels(spark, sf_dir))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model rejects go."""
+    """Documents that the quality model rejects go; all others stay with all their columns.
+
+    Null and empty texts get the score of an empty text; repeated rows and null ids are judged
+    like any other.
+    """
     prepare(spark)
     return quality.keep_good(docs, labels(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, the smallest id, with all its columns.
+
+    Null and wordless texts are near-duplicates of each other; of repeated rows one stays; rows
+    of one id whose texts differ all stay; a row without an id stays only where its group has none.
+    """
     prepare(spark)
     return simhash.keep_one(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    Texts without words are not taken; a null source is a source of its own.
+    """
     prepare(spark)
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``source``, ``n_tokens``, ``ids`` and the digest of the decoded text."""
+    """``doc_id``, ``source``, ``n_tokens``, ``ids`` and the digest of the decoded text.
+
+    A null text counts as empty and has no ids; repeated rows and null ids come out as they are;
+    further columns, also those named ``ids`` or ``n_tokens``, are ignored.
+    """
     prepare(spark)
     model = pieces.load_model(tokenizer_file(PIECE_FILE))
     coded = docs.select("doc_id", "source", pieces.encode_column(spark, F.col("text"), model).alias("ids"))
