@@ -366,7 +366,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows are judged by their text alone: null and empty texts have the score of no evidence,
     which is far below the threshold, and stay; repeated rows and null ids are kept or dropped
     like any other; texts are read whole; columns of any name pass unchanged. An empty table
-    gives no rows; without labels of both classes nothing is dropped.
+    gives no rows; labels of one class alone decide for all rows.
     """
     model = train(docs, labels)
     rows = docs.select(F.struct("*").alias("_row"), score_column(docs, model, F.col("text")).alias("_score"))
